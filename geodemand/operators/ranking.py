@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geodemand.operators.skew import join_lookup
+from geodemand.operators.skew import hot_keys, salted_join
 from geodemand.session import parallelism
 
 N_TIES, N_BEFORE, N_GROUP = "n_ties", "n_before", "n_group"
@@ -22,6 +22,15 @@ def usable(value: str) -> Column:
     return F.col(value).isNotNull() & ~F.isnan(F.col(value))
 
 
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    return (
+        df.where(usable(value))
+        .select(*by, F.col(value).cast("double").alias(value))
+        .groupBy(*by, value)
+        .agg(F.count(F.lit(1)).alias(N_TIES))
+    )
+
+
 def ordered_counts(df: DataFrame, value: str, by: list[str], cuts: int | None = None) -> DataFrame:
     """One row per group and distinct value: rows at it, rows below it, rows of the group.
 
@@ -30,12 +39,7 @@ def ordered_counts(df: DataFrame, value: str, by: list[str], cuts: int | None =
     """
     spark = df.sparkSession
     cuts = min(1000, cuts or parallelism(spark))
-    counts = (
-        df.where(usable(value))
-        .select(*by, F.col(value).cast("double").alias(value))
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias(N_TIES))
-    )
+    counts = value_counts(df, value, by)
     probs = [i / cuts for i in range(1, cuts)]
     bounds = counts.agg(F.percentile_approx(value, probs, 100 * cuts)).first()[0] or []
     inner = sorted({b for b in bounds if abs(b) != float("inf")})
@@ -84,9 +88,10 @@ def ranked(df: DataFrame, value: str, by: list[str], key: str, **outputs: Column
     """Rows with rank expressions attached; rows without a usable value keep null ranks."""
     table = ordered_counts(df, value, by)
     probe = df.withColumn("_v", F.when(usable(value), F.col(value).cast("double")))
-    joined = join_lookup(
-        probe, table.withColumnRenamed(value, "_v"), [*by, "_v"], N_TIES, [key], "left"
-    )
+    hot = hot_keys(value_counts(df, value, by), [*by, value], N_TIES)
+    if hot is not None:
+        hot = hot.withColumnRenamed(f"h_{value}", "h__v")
+    joined = salted_join(probe, table.withColumnRenamed(value, "_v"), [*by, "_v"], hot, [key], "left")
     return joined.select(*df.columns, *[e.alias(n) for n, e in outputs.items()])
 
 
@@ -185,14 +190,13 @@ def robust_scale(
     return joined.select(key, *by, *z)
 
 
-def zscores(df: DataFrame, metrics: list[str], by: list[str], key: str) -> DataFrame:
+def zscores(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
     """Departure from the peer mean in peer standard deviations (sample form); 0 if degenerate."""
     stats = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
         *[F.avg(m).alias(f"_m_{m}") for m in metrics],
         *[F.stddev_samp(m).alias(f"_s_{m}") for m in metrics],
     )
-    j = join_lookup(df, stats, by, "_n", [key])
+    j = df.join(stats, by)
     z = [
         F.coalesce(
             (F.col(m) - F.col(f"_m_{m}")) / F.when(F.col(f"_s_{m}") != 0, F.col(f"_s_{m}")), F.lit(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,11 +142,9 @@ def allocate(df: DataFrame, parent: str, weight: str, target: str, out: str) ->
     The sum per parent is aggregated and joined back rather than taken in a window, so a parent
     with very many children is never gathered in one task.
     """
-    from geodemand.operators.skew import join_lookup
-
-    sums = df.groupBy(parent).agg(F.sum(weight).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    sums = df.groupBy(parent).agg(F.sum(weight).alias("_s"))
     return (
-        join_lookup(df, sums, [parent], "_n", [F.col(weight)])
+        df.join(sums, parent)
         .withColumn(out, F.col(weight) * F.col(target) / F.nullif(F.col("_s"), F.lit(0.0)))
         .select(*df.columns, out)
     )
@@ -189,14 +189,17 @@ def class_breaks(nodes: DataFrame, by: list[str], measure: str, cuts=MAP_CUTS) -
     )
 
 
-def split_classes(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Normalised Shannon entropy of the class shares of each group."""
+def split_entropy(df: DataFrame, by: list[str], value: str, n_classes: int) -> DataFrame:
+    """Shannon entropy of the class shares of each group over ln(n_classes).
+
+    Takes one row per group and class, so the list per group is as long as there are classes.
+    """
     sums = df.groupBy(*by).agg(F.collect_list(value).alias("_v"))
     total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
     h = F.aggregate(
         "_v", F.lit(0.0), lambda a, x: a - (x / total) * F.log(x / total + F.lit(1e-12))
     )
-    return sums.select(*by, (h / F.log(F.size("_v").cast("double"))).alias("entropy"))
+    return sums.select(*by, (h / math.log(n_classes)).alias("entropy"))
 
 
 def gini(shares: list[str], sizes: list[float]) -> Column:

@@ -1,4 +1,9 @@
-"""Joins that stay balanced when one key holds a large part of the rows."""
+"""Joins that stay balanced when one key holds a large part of the rows.
+
+Lookups of one row per group are left to adaptive execution, which broadcasts a side it has
+measured to be small and splits skewed partitions otherwise. The joins here are for keys whose
+row counts are known while the plan is built, such as ties and grid cells.
+"""
 
 from __future__ import annotations
 
@@ -17,18 +22,21 @@ def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys])
 
 
-def hot_keys(weights: DataFrame, keys: list[str], weight: str, ways: int | None = None) -> DataFrame:
-    """Keys whose weight exceeds 1/ways of the total, with the number of salts each needs.
+def hot_keys(weights: DataFrame, keys: list[str], weight: str, ways: int | None = None) -> DataFrame | None:
+    """Keys that hold more than 1/ways of all rows with the number of salts each needs, or None.
 
-    At most `ways` keys can exceed that share, so the result is bounded by construction and
-    safe to broadcast whatever the data size.
+    At most `ways` keys can exceed that share, so what reaches the driver and is broadcast later
+    is bounded by construction whatever the data size.
     """
     ways = ways or parallelism(weights.sparkSession)
-    share = weights.agg((F.sum(weight) / F.lit(float(ways))).alias("s")).scalar()
-    return weights.where(F.col(weight) > share).select(
-        *[F.col(k).alias(f"h_{k}") for k in keys],
-        F.ceil(F.col(weight) / share).cast("int").alias("h_n"),
+    top, total = weights.agg(F.max(weight), F.sum(weight)).first()
+    if not total or top <= max(total / ways, 1.0):
+        return None
+    share = total / ways
+    hot = weights.where(F.col(weight) > share).select(
+        *[F.col(k).alias(f"h_{k}") for k in keys], F.ceil(F.col(weight) / share).cast("int").alias("h_n")
     )
+    return weights.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def add_salt(rows: DataFrame, hot: DataFrame, keys: list[str], spread_by: list) -> DataFrame:
@@ -60,20 +68,15 @@ def add_all_salts(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def join_lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    weight: str,
-    spread_by: list,
-    how: str = "inner",
-    ways: int | None = None,
+def salted_join(
+    many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame | None, spread_by: list, how: str = "inner"
 ) -> DataFrame:
-    """Join rows to a table with one row per key, whose `weight` counts the rows of that key.
+    """Join in which the rows of `many` that carry a hot key are spread over several tasks.
 
-    Hot keys are salted on the row side and repeated on the table side; nothing is dropped.
+    The matching rows of `few` are repeated once per salt; nothing is dropped. Without hot keys
+    it is a plain join.
     """
-    hot = hot_keys(table, keys, weight, ways)
-    left = add_salt(rows, hot, keys, spread_by)
-    right = add_all_salts(table, hot, keys)
-    return left.join(right, [*keys, SALT], how).drop(SALT)
+    if hot is None:
+        return many.join(few, keys, how)
+    left = add_salt(many, hot, keys, spread_by)
+    return left.join(add_all_salts(few, hot, keys), [*keys, SALT], how).drop(SALT)
