@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geodemand.config import DECAY_KM, KM_LAT, KM_LON, LIFE_YEARS, MAX_DEALER_KM, TIER_SCORE
-from geodemand.functions.scalars import clip, coefficient, dominant, dot
+from geodemand.functions.scalars import clip, coefficient, dominant, dot, steady_round
 from geodemand.operators.rollup import gini
 from geodemand.operators.spatial import nearest, neighbour_mean
 from geodemand.plans.registry import cte
@@ -31,7 +31,6 @@ def dealer_distance(spark, sf):
     return nearest(p, "place_id", f, "facility_id", ["state_id"], MAX_DEALER_KM)
 
 
-# Coordinates used for the distance to the nearest facility are compared in kilometres.
 _SHARES = {
     "c_ECONOMY": "category = 'ECONOMY'", "c_LARGE": "category = 'LARGE'", "c_MEDIUM": "category = 'MEDIUM'",
     "c_PROMO": "category = 'PROMO'", "c_SMALL": "category = 'SMALL'", "c_STANDARD": "category = 'STANDARD'",
@@ -125,14 +124,15 @@ NUMERIC = [
     "attach_rate", "penetration", "replacement_pressure", "chc_density", "crop_entropy", "gross_cropped_ha",
     "workability", "draft_requirement", "credit_depth", "holding_gini", "service_density", "residue_t",
     "farm_power_kw_ha", "approval_rate", "adoption", "residue_per_ha",
+    "c_ECONOMY", "c_LARGE", "c_MEDIUM", "c_PROMO", "c_SMALL", "c_STANDARD", "h_b1", "h_b2", "h_b3", "h_b4",
 ]
 IDS = ["place_id", "place", "block_id", "district_id", "state_id", "segment", "lon", "lat", "soil_texture", "dominant_crop"]
 
 cte(
     "feature",
     "SELECT " + ", ".join(IDS) + ", "
-    + ", ".join(f"round({c}, 8) AS {c}" for c in NUMERIC if c != "residue_per_ha")
-    + ", round(residue_t / greatest(gross_cropped_ha, 1e-6), 8) AS residue_per_ha FROM feat4",
+    + ", ".join(f"round({c} + 3e-11, 8) AS {c}" for c in NUMERIC if c != "residue_per_ha")
+    + ", round(residue_t / greatest(gross_cropped_ha, 1e-6) + 3e-11, 8) AS residue_per_ha FROM feat4",
     "feat4",
 )
 
@@ -227,7 +227,7 @@ def _build(spark, sf):
         ),
     })
     f = f.withColumn("residue_per_ha", c("residue_t") / F.greatest(c("gross_cropped_ha"), F.lit(1e-6)))
-    return f.select(*IDS, *[F.round(n, 8).alias(n) for n in NUMERIC])
+    return f.select(*IDS, *[steady_round(n, 8).alias(n) for n in NUMERIC])
 
 
 def features(spark, sf):
