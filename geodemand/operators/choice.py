@@ -150,7 +150,8 @@ def _concessions(units: DataFrame, pairs: DataFrame, cut: float, rate: float) ->
     a = units.select("place_id", F.col("sku_id").alias("sku_a"), F.col("units").alias("ua"))
     b = units.select("place_id", F.col("sku_id").alias("sku_b"), F.col("units").alias("ub"))
     j = a.join(hot, "sku_a").join(b, ["place_id", "sku_b"])
-    a_gives = F.col("ua") <= F.col("ub")
+    # Lines equal up to rounding noise count as equal, and the first one gives way.
+    a_gives = F.col("ua") <= F.col("ub") + 1e-12
     return j.select(
         "place_id", "sku_a", "sku_b", "frac",
         F.least("ua", "ub").alias("shared"),

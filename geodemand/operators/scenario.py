@@ -76,7 +76,7 @@ def rival_move(contests: DataFrame, rival: str, reach_km, price_change_pct: floa
     du = PRICE_SENSITIVITY * (price_change_pct / 100.0) + DISTANCE_SENSITIVITY * (-reach_km * dealer_change_pct / 100.0)
     c = contests.where(F.col("closest_rival") == rival)
     own, riv = F.col("own_share"), F.col("rival_share")
-    new = own * (own + riv) / F.greatest(own + riv * F.exp(du), F.lit(1e-12))
+    new = own * (own + riv) / F.greatest(own + riv * F.exp(F.lit(du)), F.lit(1e-12))
     after = F.col("own_units") * (1 + (new - own) / F.greatest(own, F.lit(1e-12)))
     g = c.groupBy("category").agg(
         F.sum("own_units").alias("before"), F.sum(after).alias("after"), F.count(F.lit(1)).alias("contests")

@@ -335,7 +335,7 @@ def own_units(spark, sf):
 cte(
     "concession",
     """SELECT a.place_id, sku_a, sku_b, overlap * 0.45e0 AS frac, least(a.own_units, b.own_units) AS shared,
-         CASE WHEN a.own_units <= b.own_units THEN sku_a ELSE sku_b END AS sku_id, CASE WHEN a.own_units <= b.own_units THEN a.own_units ELSE b.own_units END AS own
+         CASE WHEN a.own_units <= b.own_units + 1e-12 THEN sku_a ELSE sku_b END AS sku_id, CASE WHEN a.own_units <= b.own_units + 1e-12 THEN a.own_units ELSE b.own_units END AS own
        FROM overlap JOIN contest a ON a.sku_id = sku_a JOIN contest b ON b.sku_id = sku_b AND b.place_id = a.place_id WHERE overlap >= 0.55""",
     "overlap", "contest",
 )
