@@ -9,6 +9,7 @@ from geodemand.config import (
     BRAND_WEIGHT, CAPTURE_RATE, DISPLACEMENT_CUT, DISTANCE_SENSITIVITY, FIT_WEIGHT, OVERLAP_CUT, PRICE_SENSITIVITY,
 )
 from geodemand.functions.scalars import clip, floored_ratio
+from geodemand.session import save_table
 
 
 def offers(bias: DataFrame, fit: DataFrame, price_reach: DataFrame) -> DataFrame:
@@ -39,11 +40,15 @@ def choice_shares(places: DataFrame, offers_: DataFrame, distance: str) -> DataF
     u = F.transform(
         "offers", lambda o: o["u"] + DISTANCE_SENSITIVITY * F.greatest(F.lit(0.0), F.col(distance) - o["reach"])
     )
-    j = j.withColumn("_u", u).withColumn("_m", F.array_max("_u"))
-    j = j.withColumn("_e", F.transform("_u", lambda x: F.exp(x - F.col("_m"))))
-    j = j.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    shares = F.zip_with("offers", "_e", lambda o, e: F.struct(o["player"].alias("player"), (e / F.col("_t")).alias("share")))
-    return j.withColumn("shares", shares).drop("offers", "_u", "_m", "_e", "_t")
+    # Row-wide values go into the lambdas as repeated arrays: a value a lambda refers to directly
+    # would be worked out again for every element.
+    n = F.size("offers")
+    j = j.withColumn("_u", u)
+    j = j.withColumn("_e", F.zip_with("_u", F.array_repeat(F.array_max("_u"), n), lambda x, m: F.exp(x - m)))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
+    j = j.withColumn("_s", F.zip_with("_e", F.array_repeat(total, n), lambda x, t: x / t))
+    shares = F.zip_with("offers", "_s", lambda o, x: F.struct(o["player"].alias("player"), x.alias("share")))
+    return j.withColumn("shares", shares).drop("offers", "_u", "_e", "_s")
 
 
 def landscape(shares: DataFrame, own: str) -> DataFrame:
@@ -78,7 +83,7 @@ def grade_contests(scores: DataFrame, land: DataFrame, own: str) -> DataFrame:
     s = scores.withColumnRenamed("potential_units_yr", "market_units").join(land, ["place_id", "category"])
     s = s.withColumn("own_units", F.col("market_units") * F.col("own_share"))
     s = s.withColumn("competitor_units", F.col("market_units") - F.col("own_units"))
-    norm = s.groupBy("category").agg(F.avg("own_share").alias("_norm"))
+    norm = save_table(s.groupBy("category").agg(F.avg("own_share").alias("_norm")), "norm")
     s = s.join(norm, "category").withColumn("share_index", floored_ratio("own_share", "_norm") * 100).drop("_norm")
     s = s.withColumn("closeness", floored_ratio(F.col("own_share"), F.col("own_share") + F.col("rival_share")))
     c = F.col("closeness")

@@ -10,6 +10,7 @@ from geodemand.config import (
 )
 from geodemand.functions.scalars import clip, coefficient, floored_ratio
 from geodemand.operators.ranking import pct_ranks
+from geodemand.session import save_table
 
 
 def subfactor_table(spec: dict, have: list[str]) -> list[tuple[str, str, float, bool]]:
@@ -33,28 +34,17 @@ def factor_index(features: DataFrame, key: str, state: str, spec: dict) -> DataF
     table = subfactor_table(spec, features.columns)
     used = sorted({f for _, f, _, _ in table})
     r = pct_ranks(features.select(key, state, *used), key, used, {"all": None, "state": state})
-    parts = F.create_map(
-        *[
-            x
-            for m in used
-            for x in (
-                F.lit(m),
-                F.array(*[F.struct(F.lit(f).alias("f"), F.lit(w).alias("w"), F.lit(flip).alias("flip")) for f, g, w, flip in table if g == m]),
-            )
-        ]
+    def share(factor: str, scope: str) -> Column:
+        term = F.lit(None).cast("double")
+        for f, g, w, flip in table:
+            if f == factor:
+                pct = 100 - F.col("pct") if flip else F.col("pct")
+                term = F.when((F.col("metric") == g) & (F.col("scope") == scope), pct * w).otherwise(term)
+        return F.sum(term)
+
+    return r.groupBy(key).agg(
+        *[share(f, s).alias(f if s == "all" else f"{f}_state") for f in spec for s in ("all", "state")]
     )
-    long = r.select(key, "scope", "pct", F.explode(parts[F.col("metric")]).alias("s")).select(
-        key,
-        "scope",
-        F.col("s.f").alias("factor"),
-        (F.when(F.col("s.flip"), 100 - F.col("pct")).otherwise(F.col("pct")) * F.col("s.w")).alias("c"),
-    )
-    agg = [
-        F.sum(F.when((F.col("factor") == f) & (F.col("scope") == s), F.col("c"))).alias(f if s == "all" else f"{f}_state")
-        for f in spec
-        for s in ("all", "state")
-    ]
-    return long.groupBy(key).agg(*agg)
 
 
 def factor_definitions(spark, spec: dict, have: list[str]) -> DataFrame:
@@ -179,34 +169,32 @@ def market_state(df: DataFrame, addressable: Column, owned: Column, life_years:
     )
 
 
-def propensity_scores(
-    state: DataFrame, factors: DataFrame, weights: DataFrame, places: DataFrame, headwinds: DataFrame,
-    products: DataFrame, soil: Column,
-) -> DataFrame:
+def propensity_scores(state: DataFrame, weights: DataFrame, headwinds: DataFrame, prices: DataFrame, soil: Column) -> DataFrame:
     """Propensity, conversion, new and replacement demand, potential and its value.
 
-    `state` is place x product with headroom and replacement; `factors` place rows; `weights`
-    product rows; `places` carries district, approval_rate and dealer_accessibility.
+    `state` is place x product and already carries what belongs to the place (factors,
+    approval_rate, dealer_accessibility, whatever `soil` reads); what is joined here belongs to
+    products and districts, so rows of the size places x products are never shuffled.
     """
-    s = state.join(factors, "place_id").join(weights, "sku_id").join(places, "place_id")
+    s = state.join(weights, "sku_id").join(prices.select("sku_id", "price"), "sku_id")
     s = s.join(headwinds.select("district_id", "category", "headwind"), ["district_id", "category"], "left")
     dot = sum([F.col(f) / 100 * F.col(f"w_{f}") for f in FACTORS[1:]], F.col(FACTORS[0]) / 100 * F.col(f"w_{FACTORS[0]}"))
     hw = F.coalesce("headwind", F.lit(HEADWIND_DEFAULT))
     conv = F.col("approval_rate") * (0.55 + 0.45 * F.col("dealer_accessibility"))
     s = s.select(
-        *state.columns,
-        "district_id",
+        "place_id", "district_id", "sku_id", "category", "price", "addressable", "owned", "headroom", "penetration", "replacement_units_yr",
         soil.alias("soil_fit"),
         hw.alias("compete_headwind"),
         conv.alias("conversion"),
         F.greatest(F.lit(0.0), dot * soil * hw).alias("propensity"),
         (F.col("headroom") * ANNUAL_CONVERSION * conv).alias("new_units_yr"),
     )
-    mean = s.groupBy("sku_id").agg(F.avg("propensity").alias("_mean"))
+    # Written first, so its measured size lets the join below broadcast it and the scored rows
+    # stay where they are.
+    mean = save_table(s.groupBy("sku_id").agg(F.avg("propensity").alias("_mean")), "mean")
     pot = (F.col("new_units_yr") + F.col("replacement_units_yr")) * floored_ratio("propensity", "_mean")
     return (
         s.join(mean, "sku_id")
-        .join(products.select("sku_id", "price"), "sku_id")
         .withColumn("potential_units_yr", pot)
         .withColumn("potential_value", F.col("potential_units_yr") * F.col("price"))
         .drop("_mean", "price")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geodemand.operators.skew import hot_keys, salted_join
-from geodemand.session import parallelism
+from geodemand.session import parallelism, save_table, spread
 
 N_TIES, N_BEFORE, N_GROUP = "n_ties", "n_before", "n_group"
 
@@ -31,15 +31,17 @@ def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
-def ordered_counts(df: DataFrame, value: str, by: list[str], cuts: int | None = None) -> DataFrame:
+def ordered_counts(
+    df: DataFrame, value: str, by: list[str], cuts: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per group and distinct value: rows at it, rows below it, rows of the group.
 
     A cut holds at most about 1/cuts of all distinct values, whichever groups they belong to,
-    so a group with a third of the rows is spread like any other.
+    so a group with a third of the rows is spread like any other. The counts are written once:
+    the bounds of the cuts, the totals and the running counts all read them.
     """
-    spark = df.sparkSession
-    cuts = min(1000, cuts or parallelism(spark))
-    counts = value_counts(df, value, by)
+    cuts = min(1000, cuts or parallelism(df.sparkSession))
+    counts = counts if counts is not None else save_table(value_counts(df, value, by), "counts")
     probs = [i / cuts for i in range(1, cuts)]
     bounds = counts.agg(F.percentile_approx(value, probs, 100 * cuts)).first()[0] or []
     inner = sorted({b for b in bounds if abs(b) != float("inf")})
@@ -86,9 +88,10 @@ def descending_rank() -> Column:
 
 def ranked(df: DataFrame, value: str, by: list[str], key: str, **outputs: Column) -> DataFrame:
     """Rows with rank expressions attached; rows without a usable value keep null ranks."""
-    table = ordered_counts(df, value, by)
+    counts = save_table(value_counts(df, value, by), "counts")
+    table = ordered_counts(df, value, by, counts=counts)
     probe = df.withColumn("_v", F.when(usable(value), F.col(value).cast("double")))
-    hot = hot_keys(value_counts(df, value, by), [*by, value], N_TIES)
+    hot = hot_keys(counts, [*by, value], N_TIES)
     if hot is not None:
         hot = hot.withColumnRenamed(f"h_{value}", "h__v")
     joined = salted_join(probe, table.withColumnRenamed(value, "_v"), [*by, "_v"], hot, [key], "left")
@@ -131,7 +134,8 @@ def pct_ranks(
         for m in metrics
         for s, c in scopes.items()
     ]
-    long = df.select(key, F.explode(F.array(*cells)).alias("_c")).select(key, "_c.*")
+    wide_rows = spread(df.select(key, *{c for c in scopes.values() if c}, *metrics), key)
+    long = wide_rows.select(key, F.explode(F.array(*cells)).alias("_c")).select(key, "_c.*")
     r = ranked(long, "value", ["metric", "scope", "scope_value"], key, pct=pct_of_group() * 100)
     return r.select(key, "metric", "scope", "pct")
 

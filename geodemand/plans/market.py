@@ -13,7 +13,7 @@ from geodemand.plans import place_role as PR
 from geodemand.plans import scoring as SC
 from geodemand.plans.drill import SEASONS
 from geodemand.plans.registry import cte, query
-from geodemand.session import stage
+from geodemand.session import spread, stage
 from geodemand.sources import roles
 
 OWN = C.OWN_PLAYER
@@ -76,7 +76,7 @@ def price_reach(spark, sf):
 def shares(spark, sf):
     def build():
         p = PR.features(spark, sf).select("place_id", "district_id", "state_id", "dealer_distance_km")
-        return H.choice_shares(p, offers(spark, sf), "dealer_distance_km").drop("dealer_distance_km")
+        return H.choice_shares(spread(p, "place_id"), offers(spark, sf), "dealer_distance_km").drop("dealer_distance_km")
 
     return stage(spark, "shares", roles.paths(sf, *PR.INPUTS), build)
 

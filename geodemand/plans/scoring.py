@@ -12,7 +12,7 @@ from geodemand.operators import ranking as RK
 from geodemand.plans import place_role as PR
 from geodemand.plans.panel_role import REGRESSORS, panel
 from geodemand.plans.registry import cte, query
-from geodemand.session import stage
+from geodemand.session import save_table, spread, stage
 from geodemand.sources import roles
 
 
@@ -347,6 +347,10 @@ def player_units(spark, sf):
 
 
 def headwinds(spark, sf):
+    return stage(spark, "headwinds", roles.paths(sf, *PR.INPUTS), lambda: _build_headwinds(spark, sf))
+
+
+def _build_headwinds(spark, sf):
     return I.headwind(player_units(spark, sf), ["district_id", "category"], "player", "share", C.OWN_PLAYER, C.INCUMBENCY)
 
 
@@ -391,17 +395,18 @@ cte(
 )
 
 
-def _build_state(spark, sf):
+def state(spark, sf, places=None, carry=()):
     """Market of every place for every product.
 
     The product side meets a place through the category share that the place has, so the pairs
-    come from an equality join.
+    come from an equality join with the catalogue; columns named in `carry` ride along.
     """
-    f = PR.features(spark, sf)
-    q90 = RK.quantiles(f, "residue_t", [], {"q": 0.9}).scalar()
+    f = PR.features(spark, sf) if places is None else places
     cats = [f"c_{t}" for t in roles.TYPES]
     keep = ["place_id", "district_id", "tractors", "adoption", "chc_density", "irrigation_ratio", "residue_t", "h_b1", "h_b2", "h_b3", "h_b4"]
-    long = f.withColumn("residue_index", clip(F.col("residue_t") / F.greatest(q90, F.lit(1e-6)), 0, 1.5)).unpivot(
+    q90 = F.lit(RK.quantiles(PR.features(spark, sf), "residue_t", [], {"q": 0.9}).first()["q"])
+    keep = [*keep, *carry]
+    long = spread(f, "place_id").withColumn("residue_index", clip(F.col("residue_t") / F.greatest(q90, F.lit(1e-6)), 0, 1.5)).unpivot(
         [*keep, "residue_index"], cats, "category", "crop_fit"
     ).withColumn("category", F.regexp_replace("category", "^c_", ""))
     lo = (20 + (F.regexp_extract("player", "[0-9]+", 0).cast("int") % 6) * 5).cast("double")
@@ -421,14 +426,10 @@ def _build_state(spark, sf):
     s = I.market_state(s, a, c("addressable") * c("adoption") * coefficient("category", C.MATURITY, 0.0) * absorb, C.LIFE_YEARS)
     return s.select(
         "place_id", "district_id", "sku_id", "category", "fleet_in_band", "size_fit", "crop_fit", "gate", "addressable", "owned",
-        "penetration", "headroom", "replacement_units_yr",
+        "penetration", "headroom", "replacement_units_yr", *carry,
     )
 
 
-def state(spark, sf):
-    return stage(spark, "state", roles.paths(sf, *PR.INPUTS), lambda: _build_state(spark, sf))
-
-
 _STATE_COLS = ["fleet_in_band", "size_fit", "crop_fit", "gate", "addressable", "owned", "penetration", "headroom", "replacement_units_yr"]
 
 
@@ -464,16 +465,14 @@ cte(
 
 
 def _build_scores(spark, sf):
-    f = PR.features(spark, sf)
     hardness = F.when(F.col("soil_texture") == "clay", "hard").when(F.col("soil_texture") == "loam", "medium").otherwise("soft")
-    p = f.select("place_id", "district_id", "approval_rate", "dealer_accessibility", "draft_requirement", hardness.alias("hardness"))
+    p = PR.features(spark, sf).withColumn("hardness", hardness).join(factors(spark, sf).select("place_id", *C.FACTORS), "place_id")
+    carry = ["approval_rate", "dealer_accessibility", "draft_requirement", "hardness", *C.FACTORS]
     soil = F.when(F.col("category") == "LARGE", I.soil_fit("hardness", "draft_requirement", C.SOIL_AFFINITY["LARGE"])).otherwise(
         I.soil_fit("hardness", "draft_requirement", None)
     )
-    fac = factors(spark, sf).select("place_id", *C.FACTORS)
     return I.propensity_scores(
-        state(spark, sf).drop("district_id"), fac, I.weights_wide(weights(spark, sf)), p, headwinds(spark, sf),
-        roles.products(spark, sf), soil,
+        state(spark, sf, p, carry), save_table(I.weights_wide(weights(spark, sf)), "weights"), headwinds(spark, sf), roles.products(spark, sf), soil
     )
 
 

@@ -50,6 +50,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out the rows before a step that multiplies them, so no task carries the product alone."""
+    return df.repartition(parallelism(df.sparkSession), *keys)
+
+
 def save_table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
