@@ -57,9 +57,9 @@ def landscape(shares: DataFrame, own: str) -> DataFrame:
         F.transform("shares", lambda s: F.struct((-s["share"]).alias("k"), s["player"].alias("player"), s["share"].alias("share")))
     )
     s = shares.withColumn("_r", ranked)
-    leader = F.col("_r")[0]
-    rival = F.filter("_r", lambda r: r["player"] != own)[0]
-    own_share = F.coalesce(F.filter("_r", lambda r: r["player"] == own)[0]["share"], F.lit(0.0))
+    leader = F.get("_r", F.lit(0))
+    rival = F.get(F.filter("_r", lambda r: r["player"] != own), F.lit(0))
+    own_share = F.coalesce(F.get(F.filter("_r", lambda r: r["player"] == own), F.lit(0))["share"], F.lit(0.0))
     return s.select(
         *[c for c in shares.columns if c != "shares"],
         own_share.alias("own_share"),

@@ -63,15 +63,18 @@ def resolve_weights(
     joint prior mass by their estimated importance; bounded; positives scaled to one, penalties
     kept as they are.
     """
-    flat = lambda m: F.create_map(*[x for k, v in m.items() for f, w in v.items() for x in (F.lit(f"{k}|{f}"), F.lit(float(w)))])
+    def flat(m: dict, name: str) -> Column:
+        pairs = [x for k, v in m.items() for f, w in v.items() for x in (F.lit(f"{k}|{f}"), F.lit(float(w)))]
+        return F.create_map(*pairs)[F.concat_ws("|", name, "factor")] if pairs else F.lit(None).cast("double")
+
     base = F.create_map(*[x for f, w in prior.items() for x in (F.lit(f), F.lit(float(w)))])
     names = F.explode(F.array(*[F.lit(f) for f in prior])).alias("factor")
     w = products.select("sku_id", "category", names)
     w = w.withColumn(
         "prior",
         F.coalesce(
-            flat(by_product)[F.concat_ws("|", "sku_id", "factor")],
-            flat(by_category)[F.concat_ws("|", "category", "factor")],
+            flat(by_product, "sku_id"),
+            flat(by_category, "category"),
             base[F.col("factor")],
         ),
     )

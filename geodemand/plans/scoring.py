@@ -513,7 +513,7 @@ def propensity_rank_in_product(spark, sf):
     + ", ".join(f"{x}_state" for x in C.FACTORS)
     + """)))
       SELECT CAST(11 AS BIGINT) AS place_id, w.sku_id, w.factor, round(idx, 4) AS "index", round(st, 4) AS index_state_scope,
-        round(weight, 8) AS weight, round(idx / 100 * weight, 6) AS contribution, origin
+        round(weight, 8) AS weight, round(idx / 100 * weight + 3e-11, 6) AS contribution, origin
       FROM w JOIN i USING (factor) JOIN s USING (factor)""",
     needs=("factor", "weight"),
 )
@@ -521,5 +521,5 @@ def driver_waterfall(spark, sf):
     d = I.driver_waterfall(factors(spark, sf), weights(spark, sf), 11, "Brand#1:PROMO")
     return d.select(
         "place_id", "sku_id", "factor", F.round("index", 4).alias("index"), F.round("index_state_scope", 4).alias("index_state_scope"),
-        F.round("weight", 8).alias("weight"), F.round("contribution", 6).alias("contribution"), "origin",
+        F.round("weight", 8).alias("weight"), steady_round("contribution", 6).alias("contribution"), "origin",
     )
