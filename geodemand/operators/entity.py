@@ -45,6 +45,7 @@ def product_mentions(texts: DataFrame, key: str, text: str, catalogue: DataFrame
     the share of its telling words found (singular or plural) times its length, from one half
     on. Of the products within 75 % of the best score the one with the widest base wins.
     """
+    # Only the words of a text are looked at from here on.
     q = texts.select(key, plain_words(text).alias("_q"))
     names = catalogue.select("item", "ceiling", plain_words("name").alias("name"))
     words = F.filter(F.split("name", " "), lambda w: (F.length(w) > 3) & ~w.isin(*GENERIC_WORDS))

@@ -34,17 +34,13 @@ def factor_index(features: DataFrame, key: str, state: str, spec: dict) -> DataF
     table = subfactor_table(spec, features.columns)
     used = sorted({f for _, f, _, _ in table})
     r = pct_ranks(features.select(key, state, *used), key, used, {"all": None, "state": state})
-    def share(factor: str, scope: str) -> Column:
-        term = F.lit(None).cast("double")
-        for f, g, w, flip in table:
-            if f == factor:
-                pct = 100 - F.col("pct") if flip else F.col("pct")
-                term = F.when((F.col("metric") == g) & (F.col("scope") == scope), pct * w).otherwise(term)
-        return F.sum(term)
-
-    return r.groupBy(key).agg(
-        *[share(f, s).alias(f if s == "all" else f"{f}_state") for f in spec for s in ("all", "state")]
+    parts = features.sparkSession.createDataFrame(
+        [(g, f, float(w), flip) for f, g, w, flip in table], "metric string, factor string, w double, flip boolean"
     )
+    pct = F.when(F.col("flip"), 100 - F.col("pct")).otherwise(F.col("pct"))
+    named = F.when(F.col("scope") == "all", F.col("factor")).otherwise(F.concat("factor", F.lit("_state")))
+    long = r.join(F.broadcast(parts), "metric").select(key, named.alias("name"), (pct * F.col("w")).alias("c"))
+    return long.groupBy(key).pivot("name", [n for f in spec for n in (f, f"{f}_state")]).agg(F.sum("c"))
 
 
 def factor_definitions(spark, spec: dict, have: list[str]) -> DataFrame:

@@ -182,12 +182,16 @@ def robust_scale(
     params = q.groupBy(*by).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("p"))).alias(f"_p_{m}") for m in metrics]
     )
-    joined = df.join(params, by) if by else df.select("*", *[
-        params.select(f"_p_{m}").scalar().alias(f"_p_{m}") for m in metrics
-    ])
+    if by:
+        joined = df.join(params, by)
+        p = {m: F.col(f"_p_{m}") for m in metrics}
+    else:
+        joined = df
+        one = params.select(F.struct(*params.columns).alias("s")).scalar()
+        p = {m: one[f"_p_{m}"] for m in metrics}
     z = [
         F.greatest(
-            F.lit(-bound), F.least(F.lit(bound), (F.col(m) - F.col(f"_p_{m}.q2")) / F.col(f"_p_{m}.iqr"))
+            F.lit(-bound), F.least(F.lit(bound), (F.col(m) - p[m]["q2"]) / p[m]["iqr"])
         ).alias(f"{m}_z")
         for m in metrics
     ]

@@ -329,7 +329,7 @@ def shared_tags(spark, sf):
 
 
 def own_units(spark, sf):
-    return contests(spark, sf).groupBy("place_id", "sku_id").agg(F.sum("own_units").alias("units"))
+    return contests(spark, sf).select("place_id", "sku_id", F.col("own_units").alias("units"))
 
 
 cte(

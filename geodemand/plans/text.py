@@ -14,6 +14,7 @@ from geodemand.plans import place_role as PR
 from geodemand.plans import scoring as SC
 from geodemand.plans.insight import base_insights
 from geodemand.plans.registry import cte, query
+from geodemand.session import spread_scan
 from geodemand.sources import roles
 from geodemand.sources.sinks import weakest_of_rows
 from geodemand.sources.tables import first_source_wins, hierarchical_ids, latest_per_source
@@ -41,7 +42,7 @@ def asked(spark, sf):
     )
     q = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("text_id"), t.alias("txt"))
     d = roles.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), F.col("text").alias("txt"))
-    return q.unionByName(d)
+    return spread_scan(q.unionByName(d), "text_id")
 
 
 @query(

@@ -55,6 +55,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), *keys)
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a plain scan that has fewer splits than there are slots, e.g. one small file.
+
+    A scan of many files already has its splits and is left alone, so large texts stay put.
+    """
+    if df.rdd.getNumPartitions() >= parallelism(df.sparkSession):
+        return df
+    return spread(df, *keys)
+
+
 def save_table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -80,6 +90,11 @@ def _fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(out)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stage(spark: SparkSession, name: str, inputs: list[str], build, **params) -> DataFrame:
     """A named stage table: built and written on first use, read afterwards."""
     key = (
@@ -89,7 +104,7 @@ def stage(spark: SparkSession, name: str, inputs: list[str], build, **params) ->
         tuple(sorted(params.items())),
     )
     path = _STAGES.get(key)
-    if path is None:
+    if path is None or not _exists(spark, path):
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _STAGES[key] = path
