@@ -15,7 +15,6 @@ from geodemand.plans.registry import query
 from geodemand.sources import roles
 
 
-
 @query(
     "fact_pack_executive",
     """, s AS (SELECT r_name AS state, sum(potential_units_yr) AS u FROM ins3 JOIN region ON r_regionkey = state_id GROUP BY 1),
