@@ -124,3 +124,17 @@ def by_slices(work, column: str, limit: int = 2_000_000):
                 yield work(batch.slice(start, end - start))
 
     return run
+
+
+# Byte translation to lower-cased words of letters, digits and everything beyond ASCII, apart by blanks.
+ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z, as UTF-8."""
+    return (text or "").encode().translate(ALNUM).split()
+
+
+def blank_words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space after lower-casing A-Z, as UTF-8."""
+    return (text or "").encode().translate(LOWER).split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geodemand.llm import bpe, line_dedup, merkle, mixing
+from geodemand.llm import bpe, licences, line_dedup, merkle, mixing, toxicity
 from geodemand.llm.common import table
 from geodemand.llm.registry import query
 
@@ -28,6 +28,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), word_bpe_path())
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "held_out", "score", "predicted", "peak_evidence")
+
+
 LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, i AS pos, x[i] AS line
@@ -50,6 +55,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op7_licences")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(table(spark, sf, "documents")).drop("spans")
+
+
 @query("op10_merkle")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.with_edits(table(spark, sf, "documents"))
