@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geodemand.llm import bpe, licences, line_dedup, merkle, mixing, toxicity
+from geodemand.llm import bpe, licences, line_dedup, lm_score, merkle, mixing, ngram_join, toxicity
 from geodemand.llm.common import table
 from geodemand.llm.registry import query
 
@@ -23,6 +23,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op2_ngram_join")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf, "documents"))
+
+
 @query("op3_bpe")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), word_bpe_path())
@@ -60,6 +65,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan(table(spark, sf, "documents")).drop("spans")
 
 
+@query("op9_lm_score")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score(table(spark, sf, "documents"))
+
+
 @query("op10_merkle")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.with_edits(table(spark, sf, "documents"))
