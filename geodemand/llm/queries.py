@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geodemand.llm import bpe, licences, line_dedup, lm_score, merkle, mixing, ngram_join, toxicity
+from geodemand.llm import bpe, licences, line_dedup, lm_score, merkle, mixing, ngram_join, suffix_dedup, toxicity
 from geodemand.llm.common import table
 from geodemand.llm.registry import query
 
@@ -65,6 +65,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan(table(spark, sf, "documents")).drop("spans")
 
 
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
+    return suffix_dedup.dedup(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op9_lm_score")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.score(table(spark, sf, "documents"))
