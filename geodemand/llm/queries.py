@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geodemand.llm import bpe, licences, line_dedup, lm_score, merkle, mixing, ngram_join, suffix_dedup, toxicity
+from geodemand.llm import bpe, licences, line_dedup, lm_score, media, merkle, mixing, ngram_join, suffix_dedup, toxicity
 from geodemand.llm.common import table
 from geodemand.llm.registry import query
 
@@ -33,6 +33,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), word_bpe_path())
 
 
+@query("op4_image_copies")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of all pages, and the groups of copies among them."""
+    return media.copies(media.page_images(table(spark, sf, "pages")), "page_id")
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "held_out", "score", "predicted", "peak_evidence")
