@@ -68,8 +68,24 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dic
     return {name: np.concatenate(x) if x else np.zeros(0, np.uint64 if name in "hc" else np.int64) for name, x in found.items()}
 
 
+def _folded(h: np.ndarray, c: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts that repeat an earlier one of the same batch are settled here: v turns to -1 - v.
+
+    They travel under hashes of their own, so that a context repeated very often meets in one task
+    only once for each batch that has it.
+    """
+    order = np.lexsort((v, k, c, h))
+    h, c, k, v = h[order], c[order], k[order], v[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    again = (k != k[head]) | (v != v[head])
+    own = mixed(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.view(np.uint64))
+    return np.where(again, own, h), np.where(again, np.uint64(0), c), k, np.where(again, -1 - v, v)
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, c, k, v): every context; v packs its first start, number of further starts, and anchor offset."""
+    """(h, c, k, v): every context; v packs its first start, number of further starts, and anchor offset, below 0 if settled."""
 
     def run(batches):
         for b in batches:
@@ -78,8 +94,9 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 data, offsets = text_bytes(part.column("t"))
                 x = contexts(data, offsets)
                 v = ((x["lo"] - offsets[x["doc"]]) << 14) | ((x["hi"] - x["lo"]) << 7) | (x["a"] - x["lo"])
-                k = part.column("k").to_numpy(zero_copy_only=False)[x["doc"]]
-                yield pa.record_batch([pa.array(x["h"].view(np.int64)), pa.array(x["c"].view(np.int64)), pa.array(k, pa.int64()), pa.array(v)], ["h", "c", "k", "v"])
+                k = part.column("k").to_numpy(zero_copy_only=False)[x["doc"]].astype(np.int64)
+                h, c, k, v = _folded(x["h"], x["c"], k, v)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(v)], ["h", "c", "k", "v"])
 
     return docs.mapInArrow(run, "h long, c long, k long, v long")
 
@@ -91,6 +108,10 @@ def _settle(anchors: DataFrame) -> DataFrame:
         last, kinds, held = None, 0, None  # the last row, contexts of its gram so far, the gram's first row if not given out
         for b in batches:
             h, c, k, v = (b.column(x).to_numpy() for x in ("h", "c", "k", "v"))
+            done = v < 0
+            if done.any():
+                yield pa.record_batch([pa.array(k[done]), pa.array(-1 - v[done]), pa.array(np.zeros(done.sum(), bool))], ["k", "v", "open"])
+                h, c, k, v = h[~done], c[~done], k[~done], v[~done]
             if not len(h):
                 continue
             new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
