@@ -48,6 +48,9 @@ def shock(scores: DataFrame, betas: DataFrame, shocks: dict, group: str, parents
     are sums of the bounds below.
     """
     known = F.create_map(*[x for r, v in shocks.items() for x in (F.lit(r), F.lit(float(v)))])
+    have = {r[0] for r in betas.select("regressor").distinct().limit(1000).collect()}
+    if set(shocks) - have:
+        raise ValueError(f"no slopes for {sorted(set(shocks) - have)}; there are {sorted(have)}")
     b = betas.where(F.col("regressor").isin(*shocks))
     mean = b.groupBy("regressor").agg(F.avg("beta").alias("mb"), F.avg("se").alias("ms"))
     base = scores.groupBy(group).agg(F.sum("potential_units_yr").alias("units_base"), F.sum("potential_value").alias("value_base"))

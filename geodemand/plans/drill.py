@@ -136,7 +136,6 @@ def drill_block_customer(spark, sf):
             "archetype",
         )
         .orderBy(F.desc("units"), "id")
-        .limit(3000)
     )
 
 

@@ -22,15 +22,15 @@ from geodemand.sources import roles
        a AS (SELECT count(*) AS places, sum(potential_units_yr) AS u, sum(potential_value) AS v, sum(headroom) AS h, sum(owned) / sum(addressable) * 100 AS pen,
          count(*) FILTER (action_segment = 'Convert now') AS convert_now FROM ins3)
        SELECT places, round(u, 3) AS total_units, round(v / 1e7, 5) AS value_crore, round(h, 3) AS unserved, round(pen, 4) AS penetration_pct,
-         (SELECT state FROM s ORDER BY u DESC, state LIMIT 1) AS lead_state, (SELECT sku_id FROM p ORDER BY u DESC, sku_id LIMIT 1) AS top_product,
+         (SELECT state FROM s ORDER BY u DESC, state LIMIT 1) AS lead_state, (SELECT sku_id FROM p ORDER BY round(u, 6) DESC, sku_id LIMIT 1) AS top_product,
          (SELECT category FROM c ORDER BY u DESC, category LIMIT 1) AS biggest_category, convert_now,
-         'Across ' || format('{:,}', places) || ' places ' || (SELECT state FROM s ORDER BY u DESC, state LIMIT 1) || ' is the largest single market. Only '
-           || printf('%.0f', round(pen + 3e-11)) || '% of the market is served.' AS txt FROM a""",
+         format('{:,}', places) || ' places; most demand in ' || (SELECT state FROM s ORDER BY u DESC, state LIMIT 1) || '; served so far: '
+           || printf('%.0f', round(pen + 3e-11)) || ' percent.' AS txt FROM a""",
     needs=("ins3", "score"),
 )
 def fact_pack_executive(spark, sf):
     i = base_insights(spark, sf)
-    lead = lambda df, k: df.groupBy(k).agg(F.sum("potential_units_yr").alias("u")).agg(F.min_by(k, F.struct((-F.col("u")).alias("x"), k)).alias("v")).scalar()
+    lead = lambda df, k: df.groupBy(k).agg(F.sum("potential_units_yr").alias("u")).agg(F.min_by(k, F.struct((-F.round("u", 6)).alias("x"), k)).alias("v")).scalar()
     state = lead(i.join(roles.states(spark, sf), "state_id"), "state")
     sc = SC.scores(spark, sf)
     a = i.agg(
@@ -38,8 +38,8 @@ def fact_pack_executive(spark, sf):
         (F.sum("owned") / F.sum("addressable") * 100).alias("pen"), F.count(F.when(F.col("action_segment") == "Convert now", 1)).alias("convert_now"),
     )
     text = F.concat(
-        F.lit("Across "), F.format_number("places", 0), F.lit(" places "), state, F.lit(" is the largest single market. Only "),
-        F.format_string("%.0f", steady_round("pen", 0)), F.lit("% of the market is served."),
+        F.format_number("places", 0), F.lit(" places; most demand in "), state, F.lit("; served so far: "),
+        F.format_string("%.0f", steady_round("pen", 0)), F.lit(" percent."),
     )
     return a.select(
         "places", F.round("u", 3).alias("total_units"), F.round(F.col("v") / 1e7, 5).alias("value_crore"), F.round("h", 3).alias("unserved"),
@@ -105,7 +105,7 @@ def fact_pack_scenario(spark, sf):
     "block_points",
     """SELECT i.place_id AS id, place AS name, round(lon, 6) AS lon, round(lat, 6) AS lat, action_segment, archetype, top_sku, round(opportunity_score, 4) AS opportunity,
          round(sum(s.potential_units_yr), 6) AS units FROM ins3 i JOIN score s ON s.place_id = i.place_id
-       WHERE i.block_id = '7:BUILDING' AND s.category = 'PROMO' GROUP BY ALL ORDER BY units DESC, id LIMIT 4000""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"),
+       WHERE i.block_id = '7:BUILDING' AND s.category = 'PROMO' GROUP BY ALL ORDER BY units DESC, id""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"),
     needs=("ins3", "score"),
 )
 def block_points(spark, sf):
@@ -116,7 +116,7 @@ def block_points(spark, sf):
     return i.join(u, "place_id").select(
         F.col("place_id").alias("id"), F.col("place").alias("name"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "action_segment", "archetype",
         "top_sku", F.round("opportunity_score", 4).alias("opportunity"), "units",
-    ).orderBy(F.desc("units"), "id").limit(4000)
+    ).orderBy(F.desc("units"), "id")
 
 
 def _definitions() -> str:

@@ -265,8 +265,9 @@ def items(spark, sf):
 
     p = roles.products(spark, sf).withColumn("_lo", lo)
     bands = I.band_overlap(F.col("_lo"), F.col("_lo") + 20, C.POWER_BANDS, F.col("category").isin(*C.SELF_PROPELLED))
+    regions = [r[0] for r in roles.states(spark, sf).select("state_id").orderBy("state_id").collect()]  # as many as the profile is long
     sold = roles.place_fact(spark, sf).groupBy("sku_id").agg(
-        F.array(*[F.sum(F.when(F.col("state_id") == i, F.col("units")).otherwise(0.0)) for i in range(5)]).alias("crops")
+        F.array(*[F.sum(F.when(F.col("state_id") == i, F.col("units")).otherwise(0.0)) for i in regions]).alias("crops")
     )
     season = F.create_map(*[
         x for c, m in SEASONS.items() for x in (F.lit(c), F.array(*[F.lit(1.0 if i in m else 0.0) for i in range(1, 13)]))

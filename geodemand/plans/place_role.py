@@ -49,10 +49,20 @@ cte(
        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100e0 AS spend FROM orders GROUP BY 1""",
 )
 cte("block_centre", "SELECT block_id, avg(lon) AS blon, avg(lat) AS blat FROM place GROUP BY 1", "place")
+cte(
+    "bought",
+    "SELECT place_id, " + ", ".join(f"coalesce({x}, 0) AS {x}" for x in ("addressable", "owned", "n_lines", *_SHARES)) + " FROM place LEFT JOIN place_mix USING (place_id)",
+    "place", "place_mix",
+)
+cte(
+    "ordered",
+    "SELECT place_id, CAST(coalesce(n_orders, 0) AS DOUBLE) AS tractors, coalesce(spend, 0) AS spend FROM place LEFT JOIN place_orders USING (place_id)",
+    "place", "place_orders",
+)
 cte(
     "feat1",
     """SELECT p.*, m.addressable, m.owned, m.addressable - m.owned AS headroom, m.n_lines, o.spend,
-       CAST(o.n_orders AS DOUBLE) AS tractors, d.dealer_distance_km,
+       o.tractors, d.dealer_distance_km,
        c_ECONOMY, c_LARGE, c_MEDIUM, c_PROMO, c_SMALL, c_STANDARD, h_b1, h_b2, h_b3, h_b4,
        m.addressable / 10e0 AS net_sown_ha,
        h_b1 * 0.5e0 + h_b2 * 1.5e0 + h_b3 * 3e0 + h_b4 * 7e0 AS avg_holding_ha,
@@ -62,15 +72,15 @@ cte(
        CAST(30 + p.place_id % 150 AS DOUBLE) AS depth_cm, CAST(p.place_id % 28 AS DOUBLE) AS slope_pct,
        sqrt((p.lon * 95e0 - blon * 95e0) * (p.lon * 95e0 - blon * 95e0)
           + (p.lat * 111e0 - blat * 111e0) * (p.lat * 111e0 - blat * 111e0)) AS km_to_block
-     FROM place p JOIN place_mix m USING (place_id) JOIN place_orders o USING (place_id)
+     FROM place p JOIN bought m USING (place_id) JOIN ordered o USING (place_id)
        JOIN dealer d USING (place_id) JOIN block_centre USING (block_id)""",
-    "place", "place_mix", "place_orders", "dealer", "block_centre",
+    "place", "bought", "ordered", "dealer", "block_centre",
 )
 cte(
     "feat2",
     """SELECT *, least(2.6e0, greatest(1e0, 1 + 0.95e0 * irrigation_ratio)) AS cropping_intensity,
        irrigation_ratio * least(1e0, greatest(0e0, 0.45e0 + 0.55e0 * irrigation_ratio)) AS irrigation_reliability,
-       tractors / net_sown_ha * 1000 AS tractor_density, 30 + 5 * avg_holding_ha AS mean_hp,
+       CASE WHEN net_sown_ha > 0 THEN tractors / net_sown_ha * 1000 ELSE 0 END AS tractor_density, 30 + 5 * avg_holding_ha AS mean_hp,
        least(1e0, greatest(0.25e0, depth_cm / 120)) AS depth_score, least(1e0, greatest(0.3e0, 1 - slope_pct / 30)) AS slope_score,
        exp(-dealer_distance_km / 18e0) AS dealer_accessibility,
        least(1e0, greatest(0e0, 1 / (1 + km_to_block / 12e0))) AS market_access,
@@ -78,7 +88,7 @@ cte(
        least(0.95e0, greatest(0.05e0, 0.3e0 + acctbal / 20000)) AS kcc,
        owned / greatest(tractors, 1e-6) AS attach_rate, owned / greatest(addressable, 1e-6) AS penetration,
        (owned / 10e0) / greatest(tractors, 1e-6) AS replacement_pressure,
-       n_lines / addressable AS chc_density,
+       CASE WHEN addressable > 0 THEN n_lines / addressable ELSE 0 END AS chc_density,
        -(c_ECONOMY * ln(c_ECONOMY + 1e-12) + c_LARGE * ln(c_LARGE + 1e-12) + c_MEDIUM * ln(c_MEDIUM + 1e-12)
          + c_PROMO * ln(c_PROMO + 1e-12) + c_SMALL * ln(c_SMALL + 1e-12) + c_STANDARD * ln(c_STANDARD + 1e-12)) / ln(6) AS crop_entropy,
        h_b1 * 0.5e0 AS a1, h_b2 * 1.5e0 AS a2, h_b3 * 3e0 AS a3, h_b4 * 7e0 AS a4,
@@ -97,9 +107,9 @@ cte(
          * (1 + 0.4e0 * (1 - depth_score)) * (1 + 0.3e0 * (1 - slope_score)))) AS draft_requirement,
        tractors * mean_hp * 0.746e0 / greatest(net_sown_ha, 1e-6) AS tractor_power,
        least(1.4e0, greatest(0e0, kcc * (0.55e0 + 0.45e0 * least(1.5e0, greatest(0e0, avg_holding_ha / 4))))) AS credit_depth,
-       greatest(0.05e0, least(0.95e0, 1 - ((a1 / (a1+a2+a3+a4) + (a1+a2) / (a1+a2+a3+a4)) * h_b2
+       CASE WHEN avg_holding_ha <= 0 THEN 0.05e0 ELSE greatest(0.05e0, least(0.95e0, 1 - ((a1 / (a1+a2+a3+a4) + (a1+a2) / (a1+a2+a3+a4)) * h_b2
          + ((a1+a2) / (a1+a2+a3+a4) + (a1+a2+a3) / (a1+a2+a3+a4)) * h_b3
-         + ((a1+a2+a3) / (a1+a2+a3+a4) + (a1+a2+a3+a4) / (a1+a2+a3+a4)) * h_b4))) AS holding_gini,
+         + ((a1+a2+a3) / (a1+a2+a3+a4) + (a1+a2+a3+a4) / (a1+a2+a3+a4)) * h_b4))) END AS holding_gini,
        least(1.5e0, greatest(0e0, dealer_accessibility * 1.9e0)) AS service_density
      FROM feat2""",
     "feat2",
@@ -170,7 +180,9 @@ def _build(spark, sf):
     p = roles.places(spark, sf)
     centre = p.groupBy("block_id").agg(F.avg("lon").alias("blon"), F.avg("lat").alias("blat"))
     km = dealer_distance(spark, sf).select("place_id", F.col("near_km").alias("dealer_distance_km"))
-    f = p.join(mix, "place_id").join(orders, "place_id").join(km, "place_id").join(centre, "block_id")
+    # A place that bought nothing keeps its row, with zeros.
+    f = p.join(mix, "place_id", "left").join(orders, "place_id", "left").join(km, "place_id", "left").join(centre, "block_id")
+    f = f.fillna(0, ["addressable", "owned", "n_lines", "tractors", "spend", *_SHARES]).fillna({"dealer_distance_km": MAX_DEALER_KM})
 
     c = F.col
     f = f.withColumns({
@@ -195,7 +207,7 @@ def _build(spark, sf):
     f = f.withColumns({
         "cropping_intensity": clip(1 + 0.95 * c("irrigation_ratio"), 1.0, 2.6),
         "irrigation_reliability": c("irrigation_ratio") * clip(0.45 + 0.55 * c("irrigation_ratio"), 0, 1),
-        "tractor_density": c("tractors") / c("net_sown_ha") * 1000,
+        "tractor_density": F.when(c("net_sown_ha") > 0, c("tractors") / c("net_sown_ha") * 1000).otherwise(0.0),
         "mean_hp": 30 + 5 * c("avg_holding_ha"),
         "workability": work,
         "draft_requirement": draft,
@@ -205,10 +217,10 @@ def _build(spark, sf):
         "attach_rate": c("owned") / F.greatest(c("tractors"), F.lit(1e-6)),
         "penetration": c("owned") / F.greatest(c("addressable"), F.lit(1e-6)),
         "replacement_pressure": (c("owned") / LIFE_YEARS) / F.greatest(c("tractors"), F.lit(1e-6)),
-        "chc_density": c("n_lines") / c("addressable"),
+        "chc_density": F.when(c("addressable") > 0, c("n_lines") / c("addressable")).otherwise(0.0),
         "crop_entropy": -sum([c(f"c_{t}") * F.log(c(f"c_{t}") + 1e-12) for t in roles.TYPES[1:]],
                              c(f"c_{roles.TYPES[0]}") * F.log(c(f"c_{roles.TYPES[0]}") + 1e-12)) / F.log(F.lit(6.0)),
-        "holding_gini": gini(["h_b1", "h_b2", "h_b3", "h_b4"], MIDDLES),
+        "holding_gini": F.when(c("avg_holding_ha") > 0, gini(["h_b1", "h_b2", "h_b3", "h_b4"], MIDDLES)).otherwise(0.05),
         "dominant_crop": dominant([f"c_{t}" for t in roles.TYPES], list(roles.TYPES)),
     })
     f = f.withColumns({

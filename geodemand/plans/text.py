@@ -233,7 +233,7 @@ def latest_record_per_source(spark, sf):
 
 @query(
     "hier_ids",
-    """SELECT place_id, block_id, lpad(CAST(district_id AS VARCHAR), 3, '0') || 'V' || lpad(CAST(row_number() OVER (PARTITION BY district_id ORDER BY place_id) AS VARCHAR), 5, '0') AS hier_id FROM place""",
+    """SELECT place_id, block_id, printf('%03d', district_id) || 'V' || printf('%05d', row_number() OVER (PARTITION BY district_id ORDER BY place_id)) AS hier_id FROM place""",
     needs=("place",),
 )
 def hier_ids(spark, sf):
@@ -284,9 +284,9 @@ def whole(c):
        SELECT 'all products' AS scope, CAST(round(u) AS BIGINT) AS total_units, round(v / 1e7, 4) AS value_crore, CAST(round(h) AS BIGINT) AS unserved,
          (SELECT string_agg(n_name, ', ' ORDER BY rn) FROM t WHERE rn <= 5) AS top_5_districts,
          round((SELECT sum(units) FROM t WHERE rn <= 5) / u * 100, 4) AS share_top_5_pct,
-         'For all products, annual demand is ' || format('{:,}', CAST(round(u) AS BIGINT)) || ' implements. ' || (SELECT n_name FROM t WHERE rn = 1) || ' leads at '
-          || (SELECT format('{:,}', CAST(round(units) AS BIGINT)) FROM t WHERE rn = 1) || ' units, followed by ' || (SELECT n_name FROM t WHERE rn = 2) || ' and ' || (SELECT n_name FROM t WHERE rn = 3)
-          || '. The top five districts hold ' || printf('%.0f', round((SELECT sum(units) FROM t WHERE rn <= 5) / u * 100)) || '% of total demand.' AS txt FROM s""",
+         'Yearly units over all products: ' || format('{:,}', CAST(round(u) AS BIGINT)) || '. First ' || (SELECT n_name FROM t WHERE rn = 1) || ' with '
+          || (SELECT format('{:,}', CAST(round(units) AS BIGINT)) FROM t WHERE rn = 1) || ', then ' || (SELECT n_name FROM t WHERE rn = 2) || ' and ' || (SELECT n_name FROM t WHERE rn = 3)
+          || '. Five districts together: ' || printf('%.0f', round((SELECT sum(units) FROM t WHERE rn <= 5) / u * 100)) || ' percent.' AS txt FROM s""",
     needs=("star",),
 )
 def fact_pack_overview(spark, sf):
@@ -301,9 +301,9 @@ def fact_pack_overview(spark, sf):
     name = lambda i: t["a"][i]["district"]
     share = t["u"] / F.col("u") * 100
     text = F.concat(
-        F.lit("For all products, annual demand is "), whole("u"), F.lit(" implements. "), name(0), F.lit(" leads at "), whole(-t["a"][0]["k"]),
-        F.lit(" units, followed by "), name(1), F.lit(" and "), name(2), F.lit(". The top five districts hold "),
-        F.format_string("%.0f", F.round(share)), F.lit("% of total demand."),
+        F.lit("Yearly units over all products: "), whole("u"), F.lit(". First "), name(0), F.lit(" with "), whole(-t["a"][0]["k"]),
+        F.lit(", then "), name(1), F.lit(" and "), name(2), F.lit(". Five districts together: "),
+        F.format_string("%.0f", F.round(share)), F.lit(" percent."),
     )
     return s.select(
         F.lit("all products").alias("scope"), F.round("u").cast("bigint").alias("total_units"), F.round(F.col("v") / 1e7, 4).alias("value_crore"),
@@ -319,8 +319,8 @@ def fact_pack_overview(spark, sf):
        g AS (SELECT district, count(*) AS places, sum(potential_units_yr) AS u, sum(headroom) AS h, avg(attach_rate) AS r, avg(dealer_distance_km) AS km FROM ins3 GROUP BY 1)
        SELECT g.district AS name, places, round(g.u, 4) AS units, round(h, 4) AS unserved, round(r, 4) AS implements_per_tractor, round(km, 4) AS km_to_dealer,
          t.archetype AS main_type, a.action_segment AS main_action,
-         g.district || ' covers ' || places || ' places averaging ' || printf('%.2f', round(r + 3e-11, 2)) || ' implements per tractor. Most are ' || t.archetype || ' places. The largest group, '
-          || a.n || ' places, falls in ' || a.action_segment || '.' AS txt
+         g.district || ': ' || places || ' places with '  || printf('%.2f', round(r + 3e-11, 2)) || ' owned per tractor; commonest kind ' || t.archetype || '; commonest advice for '
+          || a.n || ' of them ' || a.action_segment || '.' AS txt
        FROM g JOIN a USING (district) JOIN t USING (district)""",
     needs=("ins3",),
 )
@@ -338,8 +338,8 @@ def fact_pack_geography(spark, sf):
 
     g = g.join(commonest("action_segment", "a"), "district").join(commonest("archetype", "t"), "district")
     text = F.concat(
-        "district", F.lit(" covers "), F.col("places").cast("string"), F.lit(" places averaging "), F.format_string("%.2f", steady_round("r", 2)),
-        F.lit(" implements per tractor. Most are "), F.col("t.v"), F.lit(" places. The largest group, "), F.col("a.n").cast("string"), F.lit(" places, falls in "), F.col("a.v"), F.lit("."),
+        "district", F.lit(": "), F.col("places").cast("string"), F.lit(" places with "), F.format_string("%.2f", steady_round("r", 2)),
+        F.lit(" owned per tractor; commonest kind "), F.col("t.v"), F.lit("; commonest advice for "), F.col("a.n").cast("string"), F.lit(" of them "), F.col("a.v"), F.lit("."),
     )
     return g.select(
         F.col("district").alias("name"), "places", F.round("u", 4).alias("units"), F.round("h", 4).alias("unserved"), F.round("r", 4).alias("implements_per_tractor"),

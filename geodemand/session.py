@@ -32,11 +32,13 @@ def build_session(app: str = "geodemand", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the cluster names none (single-machine tests) is a fresh folder made.
+    Only on a single machine may there be none; then a fresh folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = _STAGES.get((spark.sparkContext.applicationId, "local"))
         if not path:

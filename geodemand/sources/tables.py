@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geodemand.functions.scalars import letters_and_digits
+from geodemand.session import parallelism, save_table
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -128,18 +129,23 @@ def latest_per_source(log: DataFrame, source: str, order: list[Column]) -> DataF
 def hierarchical_ids(
     df: DataFrame, parent: str, order: str, tag: str, width: int, out: str
 ) -> DataFrame:
-    """Parent id + tag + zero-padded sequence inside the parent.
+    """Parent id + tag + sequence inside the parent, zero-padded to `width` digits and longer where it needs more.
 
-    The sequence is the rank of the (unique) order column, taken without a whole-parent window.
+    The sequence is the rank of the (unique) order column of any ordered type, taken without a
+    whole-parent window: rows are dealt by ranges of (parent, order), numbered inside each range,
+    and shifted by what the ranges before hold of the parent a range begins with.
     """
-    from geodemand.operators.ranking import N_BEFORE, ordered_counts
-
-    seq = ordered_counts(df, order, [parent]).select(
-        F.col(parent), F.col(order).alias("_o"), (F.col(N_BEFORE) + 1).alias("_seq")
-    )
+    spark = df.sparkSession
+    dealt = save_table(df.repartitionByRange(parallelism(spark), parent, order).withColumn("_pid", F.spark_partition_id()), "ids")
+    # Only a range's first parent can have rows in ranges before: one count per range and such parent.
+    heads = dealt.groupBy("_pid").agg(F.min(parent).alias(parent))
+    per = dealt.join(F.broadcast(heads.select(F.col(parent).alias("_head")).distinct()), F.col(parent).eqNullSafe(F.col("_head")), "left_semi")
+    per = sorted((r["_pid"], r[parent], r["n"]) for r in per.groupBy("_pid", parent).agg(F.count("*").alias("n")).collect())
+    shifts = [(r["_pid"], sum(n for pid, p, n in per if p == r[parent] and pid < r["_pid"])) for r in heads.collect()]
+    shift = F.broadcast(spark.createDataFrame(shifts, "_pid int, _shift bigint").join(heads.withColumnRenamed(parent, "_head"), "_pid"))
+    seq = F.row_number().over(Window.partitionBy("_pid", parent).orderBy(order)) + F.when(F.col(parent).eqNullSafe(F.col("_head")), F.col("_shift")).otherwise(0)
+    text = seq.cast("string")
     return (
-        df.withColumn("_o", F.col(order).cast("double"))
-        .join(seq, [parent, "_o"])
-        .withColumn(out, F.concat(F.col(parent).cast("string"), F.lit(tag), F.lpad(F.col("_seq").cast("string"), width, "0")))
+        dealt.join(shift, "_pid", "left").withColumn(out, F.concat(F.col(parent).cast("string"), F.lit(tag), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)))
         .select(*df.columns, out)
     )

@@ -77,3 +77,24 @@ def test_salted_join_loses_nothing(spark):
     out = salted_join(rows, table, ["k"], hot, ["id"])
     assert out.count() == 5000
     assert out.where("v <> k * 2").count() == 0
+
+
+def test_hierarchical_ids_keep_long_numbers_and_large_keys(spark):
+    """More children than the width has digits for, keys above 2^53, and text keys."""
+    from geodemand.sources.tables import hierarchical_ids
+
+    many = spark.range(100_005).selectExpr("'p' AS parent", "id + 9007199254740992 AS k")
+    few = spark.range(7).selectExpr("'q' AS parent", "id AS k")
+    out = hierarchical_ids(many.unionByName(few), "parent", "k", "V", 5, "hid")
+    assert out.select("hid").distinct().count() == out.count() == 100_012
+    rows = {r.k: r.hid for r in out.where("k >= 9007199254840992 OR parent = 'q'").collect()}
+    assert rows[9007199254740992 + 100_000] == "pV100001" and rows[6] == "qV00007"
+    names = hierarchical_ids(spark.createDataFrame([("p", "b"), ("p", "a"), ("r", "c")], "parent string, k string"), "parent", "k", "-", 2, "hid")
+    assert {r.k: r.hid for r in names.collect()} == {"a": "p-01", "b": "p-02", "c": "r-01"}
+
+
+def test_finder_refuses_a_limit_it_cannot_keep(spark):
+    from geodemand.operators.insights import find
+
+    with pytest.raises(ValueError):
+        find(spark.range(1), {}, limit=5000)
