@@ -8,47 +8,43 @@ from pyspark.sql import functions as F
 from geodemand.functions.scalars import letters_and_digits
 from geodemand.operators.ranking import top_n
 
-# Catalogues up to this size are matched inside the row; larger ones by a join on name beginnings.
-IN_ROW_NAMES = 500
-
 # Words too common among product names to identify one.
 GENERIC_WORDS = ("tractor", "farm", "type", "with", "unit")
 
 
-def plain_words(c: str | Column) -> Column:
-    """Lower-case letters and single blanks only."""
+def plain_words(c: str | Column, letters: str = "a-z") -> Column:
+    """Lower-case letters of the given alphabet and single blanks only."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"[^{letters} ]", " "), " +", " "))
 
 
 def _named_outright(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """(key, item) where the whole name, of at least five letters, stands in the text."""
-    long = names.where(F.length("name") > 4)
-    known = long.select("item", "name").limit(IN_ROW_NAMES + 1).collect()
-    if len(known) <= IN_ROW_NAMES:
-        if not known:
-            return texts.select(key, F.lit(None).cast("string").alias("item")).limit(0)
-        all_names = F.array(*[F.struct(F.lit(r["item"]).alias("item"), F.lit(r["name"]).alias("name")) for r in known])
-        hit = F.filter(all_names, lambda n: F.contains(F.col("_q"), n["name"]))
-        return texts.select(key, F.explode(hit).alias("n")).select(key, F.col("n.item").alias("item"))
-    # A text that holds a name holds the name's first five characters.
+    """(key, item) where the whole name, of at least five letters, stands in the text.
+
+    A text that holds a name holds the name's first five characters. Keys meet names by these
+    alone; a text is fetched once for each candidate to look the name up.
+    """
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_q") - 4), lambda i: F.substr("_q", i, F.lit(5))))
-    t = texts.where(F.length("_q") > 4).select(key, "_q", F.explode(grams).alias("_g"))
-    n = long.withColumn("_g", F.substring("name", 1, 5))
-    return t.join(n, "_g").where(F.contains(F.col("_q"), F.col("name"))).select(key, "item").distinct()
+    t = texts.where(F.length("_q") > 4).select(key, F.explode(grams).alias("_g"))
+    n = names.where(F.length("name") > 4).select("item", "name", F.substring("name", 1, 5).alias("_g"))
+    met = t.join(n, "_g").select(key, "item", "name").distinct()
+    return met.join(texts.select(key, "_q"), key).where(F.contains(F.col("_q"), F.col("name"))).select(key, "item").distinct()
 
 
-def product_mentions(texts: DataFrame, key: str, text: str, catalogue: DataFrame) -> DataFrame:
+def product_mentions(
+    texts: DataFrame, key: str, text: str, catalogue: DataFrame, generic: tuple = GENERIC_WORDS, letters: str = "a-z"
+) -> DataFrame:
     """The product a text speaks of, at most one per text.
 
     catalogue: item, name, ceiling. A name standing in full scores twice its length; otherwise
     the share of its telling words found (singular or plural) times its length, from one half
-    on. Of the products within 75 % of the best score the one with the widest base wins.
+    on. Of the products within 75 % of the best score the one with the widest base wins. A product
+    may have several rows, e.g. its id as a second name. `generic` words identify none.
     """
     # Only the words of a text are looked at from here on.
-    q = texts.select(key, plain_words(text).alias("_q"))
-    names = catalogue.select("item", "ceiling", plain_words("name").alias("name"))
-    words = F.filter(F.split("name", " "), lambda w: (F.length(w) > 3) & ~w.isin(*GENERIC_WORDS))
+    q = texts.select(key, plain_words(text, letters).alias("_q"))
+    names = catalogue.select("item", "ceiling", plain_words("name", letters).alias("name"))
+    words = F.filter(F.split("name", " "), lambda w: (F.length(w) > 3) & ~w.isin(*generic))
     names = names.withColumn("words", words)
 
     full = _named_outright(q, key, names).join(names.select("item", "name", "ceiling"), "item")

@@ -40,7 +40,7 @@ def ordered_counts(
     so a group with a third of the rows is spread like any other. The counts are written once:
     the bounds of the cuts, the totals and the running counts all read them.
     """
-    cuts = min(1000, cuts or parallelism(df.sparkSession))
+    cuts = cuts or parallelism(df.sparkSession)
     counts = counts if counts is not None else save_table(value_counts(df, value, by), "counts")
     probs = [i / cuts for i in range(1, cuts)]
     bounds = counts.agg(F.percentile_approx(value, probs, 100 * cuts)).first()[0] or []
@@ -94,8 +94,11 @@ def ranked(df: DataFrame, value: str, by: list[str], key: str, **outputs: Column
     hot = hot_keys(counts, [*by, value], N_TIES)
     if hot is not None:
         hot = hot.withColumnRenamed(f"h_{value}", "h__v")
-    joined = salted_join(probe, table.withColumnRenamed(value, "_v"), [*by, "_v"], hot, [key], "left")
-    return joined.select(*df.columns, *[e.alias(n) for n, e in outputs.items()])
+    # Rows without a value have no rank; in the join they would all meet under the null key.
+    joined = salted_join(probe.where(F.col("_v").isNotNull()), table.withColumnRenamed(value, "_v"), [*by, "_v"], hot, [key], "left")
+    joined = joined.select(*df.columns, *[e.alias(n) for n, e in outputs.items()])
+    none = [F.lit(None).cast(joined.schema[n].dataType).alias(n) for n in outputs]
+    return joined.unionByName(df.where(~F.coalesce(usable(value), F.lit(False))).select(*df.columns, *none))
 
 
 def pct_rank(

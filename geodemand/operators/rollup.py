@@ -218,7 +218,3 @@ def gini(shares: list[str], sizes: list[float]) -> Column:
         [(cum[i] + cum[i - 1]) * F.col(shares[i]) for i in range(1, len(shares))], F.lit(0.0)
     )
     return F.greatest(F.lit(0.05), F.least(F.lit(0.95), 1 - lost))
-
-
-def latest_rank_window(keys: list[str], order: Column) -> Window:
-    return Window.partitionBy(*keys).orderBy(order)

@@ -47,7 +47,7 @@ def curve_position(x: str = "_x", y: str = "_y") -> Column:
 
 def _segments(loc: DataFrame, by: list[str]) -> DataFrame:
     """Cut the curve of each group into segments of similar size; adds _seg and the group's extent."""
-    ways = min(1000, parallelism(loc.sparkSession))
+    ways = parallelism(loc.sparkSession)
     probs = [i / ways for i in range(1, ways)]
     g = loc.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -214,9 +214,18 @@ def nearest(
     w = Window.partitionBy(*by, "_seg").orderBy("_z", "_x", "_y")
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     spot = F.when(F.col("_tx").isNotNull(), F.struct("_tx", "_ty"))
-    seg = seg.withColumn("_a", F.last(spot, True).over(before)).withColumn("_b2", F.first(spot, True).over(after))
+    seg = save_table(seg.withColumn("_a", F.last(spot, True).over(before)).withColumn("_b2", F.first(spot, True).over(after)), "segments")
+    # A segment without targets takes the last one before it and the first one after it on the curve.
+    at_curve = F.struct("_z", "_x", "_y")
+    ends = seg.groupBy(*by, "_seg").agg(F.min_by(spot, F.when(spot.isNotNull(), at_curve)).alias("_first"), F.max_by(spot, F.when(spot.isNotNull(), at_curve)).alias("_last"))
+    steps = Window.partitionBy(*by).orderBy("_seg")
+    ends = ends.select(
+        *by, "_seg", F.last("_last", True).over(steps.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"),
+        F.first("_first", True).over(steps.rowsBetween(1, Window.unboundedFollowing)).alias("_n"),
+    )
+    seg = seg.join(ends, [*by, "_seg"])
     d = lambda c: sq_dist(F.col("_x"), F.col("_y"), F.col(f"{c}._tx"), F.col(f"{c}._ty"))
-    bound = F.coalesce(F.least(d("_a"), d("_b2")), _whole_extent())
+    bound = F.coalesce(F.least(d("_a"), d("_b2"), d("_p"), d("_n")), _whole_extent())
     if max_km is not None:
         bound = F.least(bound, F.lit(max_km * max_km))
     s = seg.where(F.col("_here").isNotNull()).withColumn("_r2", bound).withColumn("_e", _scale(F.col("_r2")))

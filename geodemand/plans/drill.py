@@ -112,7 +112,7 @@ def drill_nation_block(spark, sf):
       round(value, 2) AS value, round(headroom, 2) AS headroom,
       round(headroom / greatest(units, 1e-9), 6) AS attach_gap, segment AS archetype
     FROM n JOIN t USING (place_id) JOIN (SELECT place_id, lon, lat, segment FROM place) USING (place_id)
-    ORDER BY units DESC, id LIMIT 3000""",
+    ORDER BY units DESC, id""",
     needs=("star",),
 )
 def drill_block_customer(spark, sf):
