@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from geodemand.llm.common import by_slices, columns_only
 
-REMEMBERED = 300_000  # pieces or words that a task keeps before it starts afresh
+REMEMBERED = 150_000  # pieces or words that a task keeps before it starts afresh
 _SPACE = regex.compile(r"\s+")
 _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
