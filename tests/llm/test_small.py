@@ -265,6 +265,37 @@ def test_lm_score(spark, texts, docs):
         assert math.isfinite(x.score) and x.score < 0
 
 
+def test_lm_score_keeps_every_ngram_seen_twice(spark):
+    """Rare n-grams count in a corpus where they are far below any share of it; blocks of any size agree with one automaton."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(400)) for _ in range(1500)] + ["rare pair here"] * 8 + [None, "", "rare pair", "x rare pair here y"]
+    tokens = {i: blank(t) for i, t in enumerate(texts)}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    start, end = lm_score.START, lm_score.END
+    counts = [Counter() for _ in range(3)]
+    for i in train:
+        w = [start, *tokens[i], end]
+        for n in range(3):
+            counts[n].update(zip(*[w[j:] for j in range(n + 1)], strict=False))
+    words = {w: c for (w,), c in counts[0].items() if w != start}
+    below = sum(words.values()) + 0.1 * (len(words) + 1)
+    ids = {start: 0, end: 1} | {w: i + 2 for i, w in enumerate(sorted(w for w, c in words.items() if c > 1 and w != end))}
+    unigrams = {i: (counts[0][(w,)], (words.get(w, 0) + 0.1) / below) for w, i in ids.items()}
+    kept = [{tuple(ids[w] for w in g): c for g, c in counts[n].items() if c > 1} for n in (1, 2)]
+    model = lm_score.build(ids, unigrams, kept)
+    docs = made(spark, texts).repartition(3).cache()
+    for how in ({}, {"block_bytes": 50_000}):
+        rows = lm_score.score(docs, **how).collect()
+        assert len(rows) == len(texts)
+        for x in rows:
+            rest = [math.log10((words.get(w, 0) + 0.1) / below) for w in tokens[x.doc_id]]
+            assert x.score == pytest.approx(model.walk(tokens[x.doc_id], rest), abs=1e-6)
+
+
+def blank(t):
+    return (t or "").lower().encode().split()
+
+
 def test_automaton_is_a_distribution():
     ids = {lm_score.START: 0, lm_score.END: 1, b"a": 2, b"b": 3, b"c": 4}
     below = 30 + 0.1 * 5
