@@ -123,20 +123,21 @@ def fit_models(texts: DataFrame) -> Models:
     return Models(ids, rates, shared, key[order], values[:, keep][:, order])
 
 
-def evidence(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, mean_evidence and peak_evidence of every row; texts without words have 0."""
+def evidence(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", carry: tuple = ()) -> DataFrame:
+    """key, `carry` columns, mean_evidence and peak_evidence of every row; texts without words have 0."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [sent.value.evidence(alnum_words(t)) for t in b.column(text).to_pylist()]
-        return pa.record_batch([b.column(key), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], [key, "mean_evidence", "peak_evidence"])
+        values = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
+        return pa.record_batch([*[b.column(c) for c in (key, *carry)], *values], [key, *carry, "mean_evidence", "peak_evidence"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return columns_only(docs, key, text).mapInArrow(by_slices(work, text), f"`{key}` {kind}, mean_evidence double, peak_evidence double")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (key, *carry))
+    return columns_only(docs, key, text, *carry).mapInArrow(by_slices(work, text), f"{kinds}mean_evidence double, peak_evidence double")
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per row of `docs`: key, held_out, mean_evidence, peak_evidence, score, predicted.
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, carry: tuple = ()) -> DataFrame:
+    """One row per row of `docs`: key, `carry` columns, held_out, mean_evidence, peak_evidence, score, predicted.
 
     Labels come only from rows whose crc32 fold is not the held-out one; labels without key or
     value are left out, several of a key count as toxic if one is. Three quarters of the sample
@@ -159,15 +160,15 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     classes = {r["toxic"] for r in sample.where("not scale").select("toxic").distinct().collect()}
     held_out = (fold_of(F.col(key), FOLDS) == HELD_OUT).alias("held_out")
     if not {0, 1} <= classes or not sample.where("scale").head(1):
-        return evidence(docs, Models({START: 1}, np.ones((2, 2)), np.ones(2), np.zeros(0, np.int64), np.zeros((2, 0))), key, text).select(
-            key, held_out, "mean_evidence", "peak_evidence", F.lit(0.5).alias("score"), F.lit(0).alias("predicted")
+        return evidence(docs, Models({START: 1}, np.ones((2, 2)), np.ones(2), np.zeros(0, np.int64), np.zeros((2, 0))), key, text, carry).select(
+            key, *carry, held_out, "mean_evidence", "peak_evidence", F.lit(0.5).alias("score"), F.lit(0).alias("predicted")
         )
     models = fit_models(sample.where("not scale").select("toxic", "text"))
     seen = evidence(sample.where("scale"), models, "_k", "text").join(sample.where("scale").select("_k", "toxic"), "_k")
     scale = IsotonicRegression(featuresCol="peak_evidence", labelCol="toxic").fit(seen.select("peak_evidence", F.col("toxic").cast("double").alias("toxic")))
-    fitted = scale.setPredictionCol("_p").transform(evidence(docs, models, key, text))
+    fitted = scale.setPredictionCol("_p").transform(evidence(docs, models, key, text, carry))
     # A little of the plain evidence keeps the order of texts that the steps of the fit would tie.
     plain = 1 / (1 + F.exp(-(F.col("peak_evidence") + F.col("mean_evidence"))))
     value = 0.98 * F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(1.0)) + 0.02 * plain
     out = fitted.withColumn("score", value)
-    return out.select(key, held_out, "mean_evidence", "peak_evidence", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select(key, *carry, held_out, "mean_evidence", "peak_evidence", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -388,6 +388,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["bpe"])
 
 
+def test_toxic_rows_go_by_row(spark, tmp_path):
+    """A toxic row takes no other row with it that has the same id or, like it, none."""
+    import corpus_pipeline
+
+    rows = [(i, f"{'vile nasty ' * 6 if i % 3 == 0 else ''}word{i % 50} word{i % 7} plain text here", "en", "s", 9) for i in range(300)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(300)]
+    bad, good = rows[0][1], rows[1][1]
+    more = [(k, t, "en", "s", 9) for k in (None, 7000) for t in (bad, good, good, bad)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.keep_ordinary(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    left = Counter((x.doc_id, x.text) for x in kept.collect())
+    assert {k: n for k, n in left.items() if k[0] in (None, 7000)} == {(k, good): 2 for k in (None, 7000)}
+    assert sum(left.values()) == 200 + 4
+
+
 def test_registered_queries_and_sql(spark):
     """Every query of the subpackage runs on a given table; the SQL twin gives the same rows."""
     import duckdb
