@@ -177,6 +177,23 @@ def test_image_copies(spark):
     assert all(found[k].group_id // 5 == k // 5 for k in range(75))
 
 
+def test_image_descriptors_meet_up_to_three_bits_and_at_full_width(spark):
+    rng = np.random.default_rng(2)
+    texts = ["\n".join(" ".join(f"w{rng.integers(0, 9999)}" for _ in range(12)) for _ in range(45)) for _ in range(10)]
+    pages = [media.render(t) for t in texts]
+    assert pages[0].shape[1] == 96 and media.render("ab").tolist()[0][:2] == media.render("ab").tolist()[1][:2] != [0, 0]
+    words = media.features(pages[0])[1]
+    other = words.copy().view(np.uint8)
+    other[:, [0, 5, 9]] ^= 1
+    assert len(words) > 20 and (words == other.view(words.dtype)).any(1).all()
+    rows = []
+    for i, b in enumerate(pages):
+        for j, x in enumerate((b, b[9 : b.shape[0] - 6, 12:90])):
+            rows.append((2 * i + j, x.shape[1], np.ascontiguousarray(x).tobytes()))
+    found = {x.id: x.group_id for x in media.copies(spark.createDataFrame(rows, "id long, width int, pixels binary"), "id").collect()}
+    assert found == {k: k // 2 * 2 for k in range(20)}
+
+
 def test_toxicity(spark, sf):
     texts = {r.doc_id: r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()}
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
