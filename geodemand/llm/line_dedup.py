@@ -1,9 +1,9 @@
 """Removal of lines that many documents share, in DataFrame functions only.
 
-Each document gives one row per distinct line key: its 128-bit hash, the document and the positions.
-The rows are dealt by ranges of (hash, document) and sorted by it, so the documents of a very common
-line spread over several tasks and first occurrences stream by; counts of documents per hash are
-summed over the tasks. What comes back to a document is its keep bitmap, run-length coded; texts
+Each document gives one row per line with a key: its 128-bit hash, the document and the position, and
+whether it is the key's first in the document, which a sort inside the document tells. The rows are
+dealt by ranges of (hash, document), so a very common line spreads over several tasks; counts of
+documents per hash are a grouped sum of the first ones. What comes back to a document is its keep bitmap, run-length coded; texts
 are not moved to find lines, only once to apply the bitmap.
 """
 
