@@ -24,10 +24,12 @@ from tokenizers import Tokenizer
 
 from geodemand.llm.common import by_slices, columns_only
 
-REMEMBERED = 150_000  # pieces or words that a task keeps before it starts afresh
+REMEMBERED = 200_000  # pieces and words that a task keeps; beyond, the older half goes
 _SPACE = regex.compile(r"\s+")
 _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Pieces of ASCII and Latin letters that no step but lower-casing changes, and their words.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 
 
 def _byte_letters() -> list[str]:
@@ -60,8 +62,8 @@ class Vocabulary:
 
     def words_of(self, piece: str) -> list[str | int]:
         """Words of a piece in order; special tokens as their ids."""
-        if piece.isascii() and "<|" not in piece and not _PYTHON_ONLY_SPACE.search(piece):
-            return _ASCII_WORDS.findall(piece.lower())
+        if _PLAIN.fullmatch(piece) and "<|" not in piece:
+            return _PLAIN_WORDS.findall(piece.lower())
         out: list[str | int] = []
         for part in self.split_special.split(piece) if self.split_special else [piece]:
             if part in self.special:
@@ -122,10 +124,10 @@ class Vocabulary:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not remembered yet."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        for kept in (self.pieces, self.words):
+            if len(kept) > REMEMBERED:
+                for k in list(kept)[: len(kept) // 2]:
+                    del kept[k]
         new = [p for p in pieces if p not in self.pieces]
         split = {p: self.words_of(p) for p in new}
         missing = list({w for ws in split.values() for w in ws if isinstance(w, str) and w not in self.words})
@@ -138,13 +140,18 @@ class Vocabulary:
         """Tokens by single blanks, as for a vocabulary file that names no decoder."""
         return " ".join([self.token[i] for i in ids])
 
+    @staticmethod
+    def pieces_of(text: str) -> list[str]:
+        """What stands between white space."""
+        return [p for p in _SPACE.split(text) if p] if _PYTHON_ONLY_SPACE.search(text) else text.split()
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit integers, and the decoded text."""
-        cut = [_SPACE.split(t) if _PYTHON_ONLY_SPACE.search(t) else t.split() for t in texts]
-        self.learn({p for ps in cut for p in ps if p})
+        cut = [self.pieces_of(t) for t in texts]
+        self.learn({p for ps in cut for p in ps})
         out = []
         for ps in cut:
-            got = [self.pieces[p] for p in ps if p]
+            got = [self.pieces[p] for p in ps]
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
         return out
 
