@@ -429,9 +429,10 @@ def test_registered_queries_and_sql(spark):
     from geodemand.llm import LLM_QUERIES, LLM_SQL
 
     sf = "/root/testdata/sf0.001"
-    assert sorted(int(q[2:].split("_")[0]) for q in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in LLM_QUERIES) == list(range(1, 14))
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, run in LLM_QUERIES.items():
         mine = run(spark, sf).toPandas()
         assert len(mine) > 0
