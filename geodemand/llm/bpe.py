@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from geodemand.llm.common import by_slices, columns_only
 
-REMEMBERED = 200_000  # pieces and words that a task keeps; beyond, the older half goes
+REMEMBERED = 300_000  # pieces and words that a task keeps; beyond, the older half goes
 _SPACE = regex.compile(r"\s+")
 _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
 # Pieces of ASCII and Latin letters that no step but lower-casing changes, and their words.
@@ -57,11 +57,13 @@ class Vocabulary:
         self.first = [self.ids[c] for c in letters]
         self.last = [self.ids[c + end] for c in letters]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
 
     def words_of(self, piece: str) -> list[str | int]:
         """Words of a piece in order; special tokens as their ids."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower()]
         if _PLAIN.fullmatch(piece) and "<|" not in piece:
             return _PLAIN_WORDS.findall(piece.lower())
         out: list[str | int] = []
@@ -131,10 +133,14 @@ class Vocabulary:
         new = [p for p in pieces if p not in self.pieces]
         split = {p: self.words_of(p) for p in new}
         missing = list({w for ws in split.values() for w in ws if isinstance(w, str) and w not in self.words})
-        self.words.update(zip(missing, self.merge(missing), strict=True))
+        self.words.update((w, self.both(ids)) for w, ids in zip(missing, self.merge(missing), strict=True))
         for p, ws in split.items():
-            ids = [i for w in ws for i in ((w,) if isinstance(w, int) else self.words[w])]
-            self.pieces[p] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids))
+            got = [self.both((w,)) if isinstance(w, int) else self.words[w] for w in ws]
+            self.pieces[p] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+
+    def both(self, ids) -> tuple[bytes, str]:
+        """Ids as little-endian 32-bit integers, and their text."""
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def decode(self, ids) -> str:
         """Tokens by single blanks, as for a vocabulary file that names no decoder."""

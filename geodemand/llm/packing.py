@@ -16,6 +16,7 @@ buckets that are numbered apart and shifted), and look their place up in the pla
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,8 +30,12 @@ from geodemand.llm.common import by_slices, columns_only, written
 
 CAPACITY = 4096
 END = 1  # the token behind every document
-BUCKET_ROWS = 50_000  # documents of one length that are numbered in one group
-KEPT_PIECES = 400_000  # encoded pieces and words a worker keeps; beyond, the older half goes
+BUCKET_ROWS = 4_000  # documents of one length that are numbered in one group
+KEPT_PIECES = 600_000  # encoded pieces and words a worker keeps; beyond, the older half goes
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -45,27 +50,36 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str | int) -> bytes:
         got = self.words.get(word)
         if got is None:
+            if isinstance(word, int):  # a special token
+                return word.to_bytes(4, "little")
             text = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            got = self.words[word] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            got = self.words[word] = _packed([t.id for t in self.model.tokenize(text)])
+        return got
+
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            words = self.vocabulary.words_of(piece)
+            got = self.pieces[piece] = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
         return got
 
-    def learn(self, pieces: set[str]) -> None:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian 32-bit integers."""
         for kept in (self.pieces, self.words):
             if len(kept) > KEPT_PIECES:
                 for k in list(kept)[: len(kept) // 2]:
                     del kept[k]
-        for p in pieces.difference(self.pieces):
-            self.pieces[p] = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else self.word(w) for w in self.vocabulary.words_of(p)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers."""
-        cut = [self.vocabulary.pieces_of(t) for t in texts]
-        self.learn({p for ps in cut for p in ps})
-        pieces = self.pieces
-        return [b"".join([pieces[p] for p in ps]) for ps in cut]
+        out, known = [], self.pieces.get
+        for t in texts:
+            pieces = self.vocabulary.pieces_of(t)
+            got = list(map(known, pieces))
+            if None in got:
+                got = [self.piece(p) if g is None else g for p, g in zip(pieces, got, strict=True)]
+            out.append(b"".join(got))
+        return out
 
 
 _ENCODERS: dict[int, Encoder] = {}
