@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geodemand.functions.scalars import all_of, equals_all, right_closed_bin
+from geodemand.functions.scalars import equals_all, floored_ratio, right_closed_bin
 from geodemand.operators import rollup as R
+from geodemand.operators.levels import children, top_item_by_sum, unreconciled
 from geodemand.operators.ranking import quantiles, top_n
+from geodemand.plans import levels as LV
 from geodemand.plans.registry import cte, query
+from geodemand.session import stage
 from geodemand.sources import roles
 
 SUMS = ["units", "value", "owned", "headroom"]
@@ -18,6 +21,14 @@ def r2(c):
     return F.round(c, 2)
 
 
+def _shown():
+    """What a drill shows of every node."""
+    return [
+        F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "top_sku_id", "top_category",
+        *[r2(m).alias(m) for m in ("units", "value", "headroom")], F.round(floored_ratio("headroom", "units"), 6).alias("attach_gap"),
+    ]
+
+
 @query(
     "drill_region_nation",
     """, n AS (SELECT district_id, state_id, sum(units) AS units, sum(value) AS value,
@@ -35,34 +46,17 @@ def r2(c):
     needs=("star",),
 )
 def drill_region_nation(spark, sf):
-    star = roles.place_fact(spark, sf)
-    geo = roles.places(spark, sf).groupBy("district_id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    d = roles.districts(spark, sf).join(roles.states(spark, sf), "state_id")
-    nodes = R.node_totals(star, ["district_id"], SUMS, ITEM, "units")
-    nodes = nodes.join(d, "district_id").join(geo, "district_id")
-    parent = nodes.groupBy("state_id").agg(F.sum("units").alias("_p"))
-    return nodes.join(parent, "state_id").select(
-        F.col("district_id").alias("id"),
-        F.col("district").alias("name"),
-        F.col("state").alias("parent"),
-        F.round("lon", 6).alias("lon"),
-        F.round("lat", 6).alias("lat"),
-        r2("units").alias("units"),
-        r2("value").alias("value"),
-        r2("headroom").alias("headroom"),
-        F.round("attach_gap", 6).alias("attach_gap"),
-        "top_sku_id",
-        "top_category",
+    nodes = LV.nodes(spark, sf)
+    parent = children(nodes, "state").select(F.col("id").alias("parent"), F.col("units").alias("_p"))
+    return children(nodes, "district").join(parent, "parent").select(
+        F.col("id").cast("int").alias("id"),
+        "name",
+        F.col("parent_name").alias("parent"),
+        *_shown(),
         F.round(F.col("units") / F.col("_p"), 6).alias("share_of_parent"),
     ).orderBy(F.desc("units"), "id")
 
 
-def _blocks(spark, sf, star):
-    nodes = R.node_totals(star, ["block_id", "district_id"], SUMS, ITEM, "units")
-    geo = roles.places(spark, sf).groupBy("block_id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    return nodes.join(geo, "block_id")
-
-
 _BLOCK_SQL = """,
    n AS (SELECT block_id, district_id, sum(units) AS units, sum(value) AS value,
           sum(owned) AS owned, sum(headroom) AS headroom FROM star {where} GROUP BY 1, 2),
@@ -82,23 +76,8 @@ _BLOCK_SQL = """,
     needs=("star",),
 )
 def drill_nation_block(spark, sf):
-    star = roles.place_fact(spark, sf).where(F.col("district_id") == 7)
-    return (
-        _blocks(spark, sf, star)
-        .select(
-            F.col("block_id").alias("id"),
-            F.col("district_id").alias("parent"),
-            F.round("lon", 6).alias("lon"),
-            F.round("lat", 6).alias("lat"),
-            "top_sku_id",
-            "top_category",
-            r2("units").alias("units"),
-            r2("value").alias("value"),
-            r2("headroom").alias("headroom"),
-            F.round("attach_gap", 6).alias("attach_gap"),
-        )
-        .orderBy(F.desc("units"), "id")
-    )
+    n = children(LV.nodes(spark, sf), "block", 7)
+    return n.select("id", F.col("parent").cast("int").alias("parent"), *_shown()).orderBy(F.desc("units"), "id")
 
 
 @query(
@@ -116,27 +95,8 @@ def drill_nation_block(spark, sf):
     needs=("star",),
 )
 def drill_block_customer(spark, sf):
-    star = roles.place_fact(spark, sf).where(F.col("block_id") == "7:BUILDING")
-    nodes = R.node_totals(star, ["place_id", "place", "block_id"], SUMS, ITEM, "units")
-    geo = roles.places(spark, sf).select("place_id", "lon", "lat", F.col("segment").alias("archetype"))
-    return (
-        nodes.join(geo, "place_id", "left")
-        .select(
-            F.col("place_id").alias("id"),
-            F.col("place").alias("name"),
-            F.col("block_id").alias("parent"),
-            F.round("lon", 6).alias("lon"),
-            F.round("lat", 6).alias("lat"),
-            "top_sku_id",
-            "top_category",
-            r2("units").alias("units"),
-            r2("value").alias("value"),
-            r2("headroom").alias("headroom"),
-            F.round("attach_gap", 6).alias("attach_gap"),
-            "archetype",
-        )
-        .orderBy(F.desc("units"), "id")
-    )
+    n = children(LV.nodes(spark, sf), "place", "7:BUILDING")
+    return n.select(F.col("id").cast("bigint").alias("id"), "name", "parent", *_shown(), F.col("segment").alias("archetype")).orderBy(F.desc("units"), "id")
 
 
 @query(
@@ -149,10 +109,38 @@ def drill_block_customer(spark, sf):
     needs=("star",),
 )
 def level_rollup_reconciled(spark, sf):
-    t = R.level_rollup(roles.place_fact(spark, sf), ["state_id", "district_id", "block_id"], SUMS)
-    return t.select(
-        "state_id", "district_id", "block_id", "grouping", *[r2(m).alias(m) for m in SUMS], "n_rows"
-    )
+    n = LV.nodes(spark, sf).where(F.col("level") != "place")
+    ids = ["state_id", "district_id", "block_id"]
+    code = F.when(F.col("level") == "block", 0).when(F.col("level") == "district", 1).otherwise(3).cast("bigint")
+    total = children(n, "state").agg(*[F.sum(m).alias(m) for m in (*SUMS, "n_rows")])
+    none = [F.lit(None).cast(n.schema[c].dataType).alias(c) for c in ids]
+    t = n.select(*ids, code.alias("grouping"), *SUMS, "n_rows").unionByName(total.select(*none, F.lit(7).cast("bigint").alias("grouping"), *SUMS, "n_rows"))
+    return t.select(*ids, "grouping", *[r2(m).alias(m) for m in SUMS], "n_rows")
+
+
+@query(
+    "levels_unreconciled",
+    """SELECT CAST(level AS VARCHAR) AS level, CAST(id AS VARCHAR) AS id, CAST(units AS DOUBLE) AS units
+       FROM (SELECT 'place' AS level, 0 AS id, 0e0 AS units) WHERE units > 0""",
+)
+def levels_unreconciled(spark, sf):
+    """Nodes of either level table that differ from the sum of their children: none."""
+    off = [unreconciled(t, LV.HIERARCHY, [*SUMS, "n_rows"]).select("level", "id", "units") for t in (LV.nodes(spark, sf), LV.items(spark, sf))]
+    return off[0].unionByName(off[1])
+
+
+@query(
+    "top_item_by_sum",
+    """SELECT district_id, sku_id AS top_sku_id, category AS top_category, round(units, 2) AS units FROM
+         (SELECT district_id, sku_id, category, sum(units) AS units FROM star GROUP BY 1, 2, 3)
+       QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY units DESC, sku_id) = 1""",
+    needs=("star",),
+)
+def top_item_of_districts_by_sum(spark, sf):
+    d = children(LV.items(spark, sf), "district")
+    best = top_item_by_sum(d, "units", ITEM)
+    t = best.join(d, (best["id"] == d["id"]) & (best["top_sku_id"] == d["sku_id"]))
+    return t.select(best["id"].cast("int").alias("district_id"), "top_sku_id", "top_category", r2("units").alias("units"))
 
 
 @query(
@@ -164,16 +152,12 @@ def level_rollup_reconciled(spark, sf):
     needs=("star",),
 )
 def level_item_rollup(spark, sf):
-    star = roles.place_fact(spark, sf).withColumn(
-        "propensity", F.col("headroom") / F.greatest(F.col("units"), F.lit(1e-9))
-    )
-    t = R.item_rollup(star, ["district_id", "sku_id", "category"], SUMS, ["propensity"])
-    return t.select(
+    return children(LV.items(spark, sf), "district").select(
         "district_id",
         "sku_id",
         "category",
         *[r2(m).alias(m) for m in SUMS],
-        F.round("propensity", 6).alias("propensity"),
+        F.round(F.col("ratio_sum") / F.col("n_rows"), 6).alias("propensity"),
         "n_rows",
     )
 
@@ -189,10 +173,8 @@ def level_item_rollup(spark, sf):
     needs=("star", "product"),
 )
 def sku_rank_in_node(spark, sf):
-    star = roles.place_fact(spark, sf).where(equals_all({"district_id": 7, "category": "PROMO"}))
-    g = star.groupBy("sku_id", F.col("player").alias("name"), "category").agg(
-        *[F.sum(m).alias(m) for m in SUMS], F.avg(F.col("headroom") / F.col("units")).alias("propensity")
-    )
+    g = LV.items(spark, sf).where(equals_all({"level": "district", "id": "7", "category": "PROMO"}))
+    g = g.select("sku_id", F.col("player").alias("name"), "category", *SUMS, (F.col("ratio_sum") / F.col("n_rows")).alias("propensity"))
     p = roles.products(spark, sf).select("sku_id", F.round("price", 4).alias("price"))
     return (
         g.join(p, "sku_id")
@@ -202,6 +184,17 @@ def sku_rank_in_node(spark, sf):
     )
 
 
+@query(
+    "top_products_scoped",
+    """SELECT s.sku_id, s.category, round(sum(units)) AS units_per_year, round(sum(headroom)) AS unserved, round(sum(value) / 1e7, 4) AS value_crore
+       FROM star s WHERE s.state_id = 2 GROUP BY 1, 2 ORDER BY units_per_year DESC, s.sku_id LIMIT 10""",
+    needs=("star",),
+)
+def top_products_scoped(spark, sf):
+    g = LV.items(spark, sf).where(equals_all({"level": "state", "id": "2", "category": None}))
+    return g.select("sku_id", "category", *_amounts()).orderBy(F.desc("units_per_year"), "sku_id").limit(10)
+
+
 @query(
     "place_rank_scoped",
     """SELECT n_name AS name, r_name AS state, round(sum(units)) AS units_per_year,
@@ -211,21 +204,47 @@ def sku_rank_in_node(spark, sf):
     needs=("star",),
 )
 def place_rank_scoped(spark, sf):
-    star = roles.place_fact(spark, sf).where(equals_all({"category": "ECONOMY", "state_id": None}))
-    g = star.groupBy("district_id", "state_id").agg(*[F.sum(m).alias(m) for m in SUMS])
-    return (
-        g.join(roles.districts(spark, sf).drop("state_id"), "district_id")
-        .join(roles.states(spark, sf), "state_id")
-        .select(
-            F.col("district").alias("name"),
-            "state",
-            F.round("units").alias("units_per_year"),
-            F.round("headroom").alias("unserved"),
-            F.round(F.col("value") / 1e7, 4).alias("value_crore"),
-        )
-        .orderBy(F.desc("units_per_year"), "name")
-        .limit(10)
-    )
+    return _ranked(spark, sf, "district", {"category": "ECONOMY", "state_id": None}, 10).select("name", F.col("parent_name").alias("state"), *_RANKED)
+
+
+_RANKED = ("units_per_year", "unserved", "value_crore")
+
+
+def _amounts():
+    return [F.round("units").alias("units_per_year"), F.round("headroom").alias("unserved"), F.round(F.col("value") / 1e7, 4).alias("value_crore")]
+
+
+def _ranked(spark, sf, level, scope, limit):
+    """The first nodes of a level by units, of one product, category, state or district where asked.
+
+    Rows of the level are added up per node only; no other level is opened, and no fact.
+    """
+    scoped = children(LV.items(spark, sf), level).where(equals_all(scope))
+    g = scoped.groupBy("id").agg(*[F.sum(m).alias(m) for m in ("units", "value", "headroom")])
+    names = children(LV.nodes(spark, sf), level).select("id", "name", "parent_name")
+    top = g.select("id", *_amounts()).join(names, "id")
+    return top.orderBy(F.desc("units_per_year"), "name").limit(limit)
+
+
+_RANK_SQL = """SELECT '{level}' AS level, CAST({id} AS VARCHAR) AS id, CAST({name} AS VARCHAR) AS name, round(sum(units)) AS units_per_year,
+         round(sum(headroom)) AS unserved, round(sum(value) / 1e7, 4) AS value_crore
+       FROM star JOIN nation ON n_nationkey = district_id JOIN region ON r_regionkey = star.state_id
+       WHERE category = 'ECONOMY' {scope} GROUP BY ALL ORDER BY units_per_year DESC, name LIMIT 5"""
+_RANKS = {"state": ("star.state_id", "r_name", ""), "district": ("district_id", "n_name", "AND star.state_id = 1"), "block": ("block_id", "block_id", "AND district_id = 7"), "place": ("place_id", "place", "AND star.state_id = 1")}
+
+
+@query(
+    "rank_at_every_level",
+    "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(_RANK_SQL.format(level=k, id=i, name=n, scope=w) for k, (i, n, w) in _RANKS.items()) + ")",
+    needs=("star",),
+)
+def rank_at_every_level(spark, sf):
+    scopes = {"state": {}, "district": {"state_id": 1}, "block": {"district_id": 7}, "place": {"state_id": 1}}
+    parts = [
+        _ranked(spark, sf, level, {"category": "ECONOMY", **scope}, 5).select(F.lit(level).alias("level"), "id", "name", *_RANKED)
+        for level, scope in scopes.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(
@@ -249,7 +268,7 @@ def top_sku_per_place(spark, sf):
     needs=("star",),
 )
 def share_of_total_top5(spark, sf):
-    n = roles.place_fact(spark, sf).groupBy("district_id").agg(F.sum("units").alias("units"))
+    n = children(LV.nodes(spark, sf), "district")
     return R.concentration(n, "district_id", "units").select(
         "n_nodes", r2("top_units").alias("top_units"), F.round("top_share_pct", 6).alias("top_share_pct")
     )
@@ -266,9 +285,8 @@ def share_of_total_top5(spark, sf):
     needs=("star", "product"),
 )
 def segment_over_index(spark, sf):
-    seg = roles.places(spark, sf).select("place_id", "segment")
-    star = roles.fact(spark, sf).join(seg, "place_id")
-    t = R.over_index(star, F.col("segment") == "BUILDING", "sku_id", "units")
+    blocks = children(LV.items(spark, sf), "block")
+    t = R.over_index(blocks, F.substring_index("id", ":", -1) == "BUILDING", "sku_id", "units")
     p = roles.products(spark, sf).select("sku_id", F.col("player").alias("name"), "category")
     return (
         t.join(p, "sku_id")
@@ -300,9 +318,7 @@ def segment_over_index(spark, sf):
     needs=("star",),
 )
 def class_breaks(spark, sf):
-    n = roles.place_fact(spark, sf).groupBy("state_id", "district_id", "block_id").agg(
-        F.sum("headroom").alias("units")
-    )
+    n = children(LV.nodes(spark, sf), "block").select("state_id", "district_id", "block_id", F.col("headroom").alias("units"))
     return R.class_breaks(n, ["state_id"], "units").select(
         "state_id", "block_id", r2("units").alias("units"), "color_class"
     )
@@ -429,7 +445,7 @@ def gini_by_nation(spark, sf):
     needs=("fact",),
 )
 def hhi_by_type(spark, sf):
-    s = roles.fact(spark, sf).groupBy("category", "player").agg(F.sum("units").alias("u"))
+    s = children(LV.items(spark, sf), "state").groupBy("category", "player").agg(F.sum("units").alias("u"))
     g = s.groupBy("category").agg((F.sum(F.col("u") * F.col("u")) / F.pow(F.sum("u"), F.lit(2.0))).alias("hhi"))
     return g.select("category", F.round("hhi", 8).alias("hhi"))
 
@@ -444,7 +460,7 @@ def hhi_by_type(spark, sf):
     needs=("star",),
 )
 def allocate_to_children(spark, sf):
-    w = roles.place_fact(spark, sf).groupBy("place_id", "district_id").agg(F.sum("units").alias("w"))
+    w = children(LV.nodes(spark, sf), "place").select("place_id", "district_id", F.col("units").alias("w"))
     o = roles.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("place_id"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c")
     )
@@ -484,7 +500,7 @@ def share_and_std_by_group(spark, sf):
     needs=("star",),
 )
 def unpivot_metrics(spark, sf):
-    g = roles.place_fact(spark, sf).groupBy("district_id").agg(*[F.sum(m).alias(m) for m in ("units", "value", "owned")])
+    g = children(LV.nodes(spark, sf), "district").select("district_id", "units", "value", "owned")
     return g.unpivot("district_id", ["units", "value", "owned"], "metric", "v").select(
         "district_id", "metric", r2("v").alias("v")
     )
@@ -498,7 +514,7 @@ def unpivot_metrics(spark, sf):
     needs=("star",),
 )
 def pivot_category_units(spark, sf):
-    g = roles.place_fact(spark, sf).groupBy("district_id").pivot("category", ["ECONOMY", "LARGE", "PROMO"]).agg(F.sum("units"))
+    g = children(LV.items(spark, sf), "district").groupBy("district_id").pivot("category", ["ECONOMY", "LARGE", "PROMO"]).agg(F.sum("units"))
     return g.select("district_id", *[r2(c).alias(c.lower()) for c in ("ECONOMY", "LARGE", "PROMO")])
 
 
@@ -508,7 +524,7 @@ def pivot_category_units(spark, sf):
     needs=("fact",),
 )
 def having_filter(spark, sf):
-    g = roles.fact(spark, sf).groupBy("sku_id").agg(F.sum("owned").alias("owned"))
+    g = children(LV.items(spark, sf), "state").groupBy("sku_id").agg(F.sum("owned").alias("owned"))
     return g.where(F.col("owned") >= 1500).select("sku_id", r2("owned").alias("owned"))
 
 
@@ -567,7 +583,8 @@ def seasons(spark, sf):
     p = roles.products(spark, sf).select("sku_id", "category", windows[F.col("category")].alias("season"))
     from geodemand.plans.panel_role import panel
 
-    return season_index(log_departure(panel(spark, sf), "district_id", "y", "seasonal"), p, "month", "seasonal")
+    build = lambda: season_index(log_departure(panel(spark, sf), "district_id", "y", "seasonal"), p, "month", "seasonal")
+    return stage(spark, "seasons", roles.paths(sf, "lineitem", "orders", "customer", "part"), build)
 
 
 @query(
@@ -597,10 +614,10 @@ def season_index_query(spark, sf):
     needs=("star", "season"),
 )
 def season_scaled_drill(spark, sf):
-    star = roles.place_fact(spark, sf)
-    nodes = R.node_totals(star, ["district_id"], SUMS, ITEM, "units")
+    nodes, items = (children(t, "district") for t in (LV.nodes(spark, sf), LV.items(spark, sf)))
+    nodes = nodes.withColumn("attach_gap", floored_ratio("headroom", "units"))
     k = R.season_factor(seasons(spark, sf), 10, category="ECONOMY")
-    out = R.rescoped(nodes, star, "district_id", {"sku_id": None, "category": "ECONOMY"}, k)
+    out = R.rescoped(nodes, items, "district_id", {"sku_id": None, "category": "ECONOMY"}, k)
     return out.select(
         "district_id",
         F.round("units", 4).alias("units"),

@@ -9,6 +9,8 @@ from geodemand.functions.scalars import steady_round
 from geodemand.operators import choice as H
 from geodemand.operators import indices as I
 from geodemand.operators import scenario as X
+from geodemand.operators.levels import children
+from geodemand.plans import levels as LV
 from geodemand.plans import place_role as PR
 from geodemand.plans import scoring as SC
 from geodemand.plans.drill import SEASONS
@@ -50,7 +52,7 @@ cte(
 
 
 def offers(spark, sf):
-    f = roles.place_fact(spark, sf)
+    f = children(LV.items(spark, sf), "state")
     by_state = f.groupBy("state_id", "player").agg(F.sum("units").alias("u"))
     state = by_state.groupBy("state_id").agg(F.sum("u").alias("s"))
     player = by_state.groupBy("player").agg(F.sum("u").alias("n"))
@@ -266,7 +268,7 @@ def items(spark, sf):
     p = roles.products(spark, sf).withColumn("_lo", lo)
     bands = I.band_overlap(F.col("_lo"), F.col("_lo") + 20, C.POWER_BANDS, F.col("category").isin(*C.SELF_PROPELLED))
     regions = [r[0] for r in roles.states(spark, sf).select("state_id").orderBy("state_id").collect()]  # as many as the profile is long
-    sold = roles.place_fact(spark, sf).groupBy("sku_id").agg(
+    sold = children(LV.items(spark, sf), "state").groupBy("sku_id").agg(
         F.array(*[F.sum(F.when(F.col("state_id") == i, F.col("units")).otherwise(0.0)) for i in regions]).alias("crops")
     )
     season = F.create_map(*[

@@ -9,6 +9,8 @@ from geodemand.functions.scalars import clip, coefficient, steady_round
 from geodemand.operators import indices as I
 from geodemand.operators import panel as P
 from geodemand.operators import ranking as RK
+from geodemand.operators.levels import children
+from geodemand.plans import levels as LV
 from geodemand.plans import place_role as PR
 from geodemand.plans.panel_role import REGRESSORS, panel
 from geodemand.plans.registry import cte, query
@@ -341,7 +343,7 @@ cte(
 
 def player_units(spark, sf):
     """Share of each player in a district's category."""
-    g = roles.place_fact(spark, sf).groupBy("district_id", "category", "player").agg(F.sum("units").alias("u"))
+    g = children(LV.items(spark, sf), "district").groupBy("district_id", "category", "player").agg(F.sum("units").alias("u"))
     t = g.groupBy("district_id", "category").agg(F.sum("u").alias("t"))
     return g.join(t, ["district_id", "category"]).select("district_id", "category", "player", (F.col("u") / F.col("t")).alias("share"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geodemand.operators import spatial as S
+from geodemand.operators.levels import children
+from geodemand.plans import levels as LV
 from geodemand.plans import place_role as PR
 from geodemand.plans.registry import query, sql_with  # noqa: F401
 from geodemand.sources import roles
@@ -198,9 +200,9 @@ def place_features(spark, sf):
 def node_geometry_values(spark, sf):
     from geodemand.operators.rollup import top_item
 
-    star = roles.place_fact(spark, sf).where(F.col("category") == "PROMO")
-    g = star.groupBy(F.col("district_id").alias("cell_id")).agg(
-        F.sum("units").alias("units"), F.sum("headroom").alias("headroom"), top_item(["sku_id"], "units").alias("t")
+    promo = children(LV.items(spark, sf), "district").where(F.col("category") == "PROMO")
+    g = promo.groupBy(F.col("district_id").alias("cell_id")).agg(
+        F.sum("units").alias("units"), F.sum("headroom").alias("headroom"), top_item(["sku_id"], "largest").alias("t")
     )
     j = district_cells(spark, sf).join(g, "cell_id", "left")
     return j.select(

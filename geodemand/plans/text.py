@@ -10,6 +10,8 @@ from geodemand.functions.scalars import letters_and_digits
 from geodemand.operators import entity as E
 from geodemand.operators import quality as Q
 from geodemand.operators import sessions as S
+from geodemand.operators.levels import children
+from geodemand.plans import levels as LV
 from geodemand.plans import place_role as PR
 from geodemand.plans import scoring as SC
 from geodemand.plans.insight import base_insights
@@ -290,9 +292,8 @@ def whole(c):
     needs=("star",),
 )
 def fact_pack_overview(spark, sf):
-    star = roles.place_fact(spark, sf)
-    n = star.groupBy("district_id").agg(F.sum("units").alias("units"), F.sum("value").alias("value"), F.sum("headroom").alias("headroom"))
-    top = n.orderBy(F.desc("units"), "district_id").limit(5).join(roles.districts(spark, sf).select("district_id", "district"), "district_id")
+    n = children(LV.nodes(spark, sf), "district").select("district_id", F.col("name").alias("district"), "units", "value", "headroom")
+    top = n.orderBy(F.desc("units"), "district_id").limit(5)
     arr = F.array_sort(F.collect_list(F.struct((-F.col("units")).alias("k"), "district_id", "district")))
     top = top.agg(arr.alias("a"), F.sum("units").alias("u"))
     names = F.concat_ws(", ", F.transform("a", lambda x: x["district"])).alias("names")

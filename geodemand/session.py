@@ -97,8 +97,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def stage(spark: SparkSession, name: str, inputs: list[str], build, **params) -> DataFrame:
-    """A named stage table: built and written on first use, read afterwards."""
+def stage(spark: SparkSession, name: str, inputs: list[str], build, partition_by: tuple[str, ...] = (), **params) -> DataFrame:
+    """A named stage table: built and written on first use, read afterwards; in folders by `partition_by`."""
     key = (
         spark.sparkContext.applicationId,
         name,
@@ -108,6 +108,6 @@ def stage(spark: SparkSession, name: str, inputs: list[str], build, **params) ->
     path = _STAGES.get(key)
     if path is None or not _exists(spark, path):
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        build().write.partitionBy(*partition_by).parquet(path)
         _STAGES[key] = path
     return spark.read.parquet(path)
