@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geodemand.functions.scalars import letters_and_digits
-from geodemand.operators.ranking import top_n
+from geodemand.session import save_table
 
 # Words too common among product names to identify one.
 GENERIC_WORDS = ("tractor", "farm", "type", "with", "unit")
@@ -18,55 +18,130 @@ def plain_words(c: str | Column, letters: str = "a-z") -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"[^{letters} ]", " "), " +", " "))
 
 
-def _named_outright(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """(key, item) where the whole name, of at least five letters, stands in the text.
+GRAM = 5  # characters of a one-word name that a token is probed with
 
-    A text that holds a name holds the name's first five characters. Keys meet names by these
-    alone; a text is fetched once for each candidate to look the name up.
+
+def _probes_of_names(names: DataFrame) -> DataFrame:
+    """What a token must be, end with, begin with or hold to stand for a part of a name: part, kind, probe, word.
+
+    A name of several words stands in a text where a token ends with its first word, the next ones are
+    its middle words, and one begins with its last word. A telling word counts as singular or plural.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_q") - 4), lambda i: F.substr("_q", i, F.lit(5))))
-    t = texts.where(F.length("_q") > 4).select(key, F.explode(grams).alias("_g"))
-    n = names.where(F.length("name") > 4).select("item", "name", F.substring("name", 1, 5).alias("_g"))
-    met = t.join(n, "_g").select(key, "item", "name").distinct()
-    return met.join(texts.select(key, "_q"), key).where(F.contains(F.col("_q"), F.col("name"))).select(key, "item").distinct()
+    w = F.split("name", " ")
+    middle = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda x: _part("is", x))
+    several = F.concat(F.array(_part("ends", F.get(w, F.lit(0)))), middle, F.array(_part("begins", F.element_at(w, -1))))
+    whole = F.when(F.length("name") > 4, F.when(F.size(w) > 1, several).otherwise(F.array(_part("holds", F.col("name"))))).otherwise(F.array().cast(_PARTS))
+    forms = lambda x: F.array(x, F.concat(x, F.lit("s")), F.rtrim(x, F.lit("s")))
+    telling = F.flatten(F.transform("words", lambda x: F.transform(forms(x), lambda f: F.struct(F.lit("form").alias("kind"), f.alias("probe"), x.alias("word")))))
+    return names.select(F.explode(F.array_distinct(F.concat(whole, telling))).alias("p")).select("p.*").distinct()
+
+
+_PARTS = "array<struct<kind:string,probe:string,word:string>>"
+
+
+def _part(kind: str, word: Column) -> Column:
+    probe = F.substring(word, 1, GRAM) if kind == "holds" else word
+    return F.struct(F.lit(kind).alias("kind"), probe.alias("probe"), word.alias("word"))
+
+
+def _label(kind: Column, word: Column) -> Column:
+    return F.concat(kind, F.lit(":"), word)
+
+
+def _parts_in(tokens: DataFrame, probes: DataFrame) -> DataFrame:
+    """The index of the vocabulary: token and the part of some name it stands for.
+
+    Every distinct token is cut at the lengths that occur among the names, so it gives a number of
+    probes that the catalogue bounds, not the texts.
+    """
+    sizes = {r["kind"]: sorted(r["n"]) for r in probes.groupBy("kind").agg(F.collect_set(F.length("probe")).alias("n")).collect()}
+    token, n = F.col("token"), F.length("token")
+    cuts = {
+        "form": [token], "is": [token],
+        "ends": [F.when(n >= i, F.right("token", F.lit(i))) for i in sizes.get("ends", [])],
+        "begins": [F.when(n >= i, F.left("token", F.lit(i))) for i in sizes.get("begins", [])],
+    }
+    tried = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("probe")) for k, cs in cuts.items() if k in sizes for c in cs] or [F.struct(F.lit("").alias("kind"), token.alias("probe"))])
+    for i in sizes.get("holds", []):  # every run of i letters, in one pass over the token
+        runs = F.regexp_extract_all(token, F.lit(f"(?=(.{{{i}}}))"), F.lit(1))
+        tried = F.concat(tried, F.transform(F.array_distinct(runs), lambda g: F.struct(F.lit("holds").alias("kind"), g.alias("probe"))))
+    t = tokens.select("token", F.explode(tried).alias("t")).select("token", "t.*").where(F.col("probe").isNotNull())
+    met = t.join(probes, ["kind", "probe"]).where((F.col("kind") != "holds") | F.contains(token, F.col("word")))
+    return met.select("token", _label(F.col("kind"), F.col("word")).alias("part")).distinct()
+
+
+def _held_in_full(q: DataFrame, key: str, held: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Per text with its set of parts (`held`) the names that stand in it in full.
+
+    Sets of parts meet names by these parts; only the texts of a set that has all parts of a name
+    of several words are looked at, once for all its names.
+    """
+    w = names.where(F.length("name") > 4).select("name").distinct()
+    words = F.split("name", " ")
+    several = F.concat(
+        F.array(F.concat(F.lit("ends:"), F.get(words, F.lit(0)))),
+        F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda x: F.concat(F.lit("is:"), x)),
+        F.array(F.concat(F.lit("begins:"), F.element_at(words, -1))),
+    )
+    parts = F.array_distinct(F.when(F.size(words) > 1, several).otherwise(F.array(F.concat(F.lit("holds:"), F.col("name")))))
+    w = w.select("name", parts.alias("parts"), (F.size(words) > 1).alias("several")).select("name", "several", F.size("parts").alias("m"), F.explode("parts").alias("part"))
+    s = sets.select("sid", F.explode("parts").alias("part"))
+    met = s.join(w, "part").groupBy("sid", "name", "several", "m").agg(F.count(F.lit(1)).alias("n")).where("n = m")
+    per = met.groupBy("sid").agg(
+        F.collect_list(F.when(~F.col("several"), F.col("name"))).alias("sure"), F.collect_list(F.when(F.col("several"), F.col("name"))).alias("asked")
+    )
+    per = save_table(held.select(key, "sid").join(per, "sid"), "mention-asked")
+    looked = per.where(F.size("asked") > 0).join(q, key).select(key, F.filter("asked", lambda n: F.contains(F.col("_q"), n)).alias("found"))
+    both = per.join(looked, key, "left").select(key, F.array_sort(F.concat("sure", F.coalesce("found", F.array().cast("array<string>")))).alias("full"))
+    return both.where(F.size("full") > 0)
 
 
 def product_mentions(
     texts: DataFrame, key: str, text: str, catalogue: DataFrame, generic: tuple = GENERIC_WORDS, letters: str = "a-z"
 ) -> DataFrame:
-    """The product a text speaks of, at most one per text.
+    """The product a text speaks of, at most one per text (key: unique per text).
+
+    catalogue: item, name, ceiling. A name of at least five letters standing in full scores twice its
+    length; otherwise the share of its telling words found (singular or plural) times its length,
+    from one half on. Of the products within 75 % of the best score the one with the widest base
+    wins. A product may have several rows, e.g. its id as a second name. `generic` words identify none.
 
-    catalogue: item, name, ceiling. A name standing in full scores twice its length; otherwise
-    the share of its telling words found (singular or plural) times its length, from one half
-    on. Of the products within 75 % of the best score the one with the widest base wins. A product
-    may have several rows, e.g. its id as a second name. `generic` words identify none.
+    Names meet the distinct tokens of all texts, and these the texts, so that a text is cut into
+    tokens once, whatever the catalogue. Texts with the same set of parts are scored as one.
     """
-    # Only the words of a text are looked at from here on.
-    q = texts.select(key, plain_words(text, letters).alias("_q"))
-    names = catalogue.select("item", "ceiling", plain_words("name", letters).alias("name"))
+    q = save_table(texts.select(key, plain_words(text, letters).alias("_q")).where(F.col("_q") != ""), "mention-texts")
+    names = catalogue.select("item", "ceiling", plain_words("name", letters).alias("name")).where(F.col("name") != "")
     words = F.filter(F.split("name", " "), lambda w: (F.length(w) > 3) & ~w.isin(*generic))
-    names = names.withColumn("words", words)
-
-    full = _named_outright(q, key, names).join(names.select("item", "name", "ceiling"), "item")
-    full = full.select(key, "item", "ceiling", (F.length("name") * 2.0).alias("score"))
-
-    tokens = q.select(key, F.explode(F.array_distinct(F.split("_q", " "))).alias("token"))
-    w = names.select("item", "name", "ceiling", F.size("words").alias("n"), F.explode("words").alias("word"))
-    forms = w.withColumn(
-        "token",
-        F.explode(F.array_distinct(F.array(F.col("word"), F.concat("word", F.lit("s")), F.rtrim(F.col("word"), F.lit("s"))))),
-    )
-    hit = tokens.join(forms, "token").groupBy(key, "item", "name", "ceiling", "n").agg(F.countDistinct("word").alias("h"))
-    part = hit.where(F.col("h") / F.col("n") >= 0.5).select(
-        key, "item", "ceiling", (F.col("h") / F.col("n") * F.length("name")).alias("score")
-    )
-    part = part.join(full.select(key, "item"), [key, "item"], "left_anti")
-    cand = full.unionByName(part)
-    best = cand.groupBy(key).agg(F.max("score").alias("_top")).where(F.col("_top") >= 5)
-    close = cand.join(best, key).where(F.col("score") >= F.col("_top") * 0.75)
-    return close.groupBy(key).agg(
+    names = save_table(names.withColumn("words", words).distinct(), "mention-names")
+
+    tokens = q.select(F.explode(F.split("_q", " ")).alias("token")).distinct()
+    index = save_table(_parts_in(tokens, save_table(_probes_of_names(names), "mention-probes")), "mention-index")
+    per_text = q.select(key, F.explode(F.array_distinct(F.split("_q", " "))).alias("token")).join(index, "token")
+    held = save_table(per_text.groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("parts")), "mention-held")
+    sets = save_table(held.select("parts").distinct().withColumn("sid", F.monotonically_increasing_id()), "mention-sets")
+    held = held.join(sets, "parts").select(key, "sid")
+
+    full = _held_in_full(q, key, held, sets, names)
+    none = F.array().cast("array<string>")
+    held = save_table(held.join(full, key, "left").select(key, "sid", F.coalesce("full", none).alias("full")), "mention-full")
+    cases = held.select("sid", "full").distinct().withColumn("case", F.monotonically_increasing_id())
+    cases = save_table(cases.join(sets, "sid").select("case", "sid", "full", "parts"), "mention-cases")
+
+    outright = cases.select("case", F.explode("full").alias("name")).join(names, "name").select("case", "item", "ceiling", (F.length("name") * 2.0).alias("score"))
+    forms = cases.select("case", "full", F.transform(F.filter("parts", lambda p: F.startswith(p, F.lit("form:"))), lambda p: F.substring_index(p, ":", -1)).alias("forms"))
+    by_word = names.select("name", "item", "ceiling", "words", F.explode(F.array_distinct("words")).alias("word"))
+    met = forms.select("case", "full", "forms", F.explode("forms").alias("word")).join(by_word, "word")
+    met = met.dropDuplicates(["case", "item", "name", "ceiling"]).where(~F.array_contains("full", F.col("name")))
+    share = F.size(F.filter("words", lambda w: F.array_contains("forms", w))) / F.size("words")
+    part = met.where(share >= 0.5).select("case", "item", "ceiling", (share * F.length("name")).alias("score"))
+    cand = outright.unionByName(part)
+    best = cand.groupBy("case").agg(F.max("score").alias("_top")).where(F.col("_top") >= 5)
+    close = cand.join(best, "case").where(F.col("score") >= F.col("_top") * 0.75)
+    won = close.groupBy("case").agg(
         F.min_by(F.struct("item", "score"), F.struct((-F.col("ceiling")).alias("c"), (-F.col("score")).alias("s"), "item")).alias("b")
-    ).select(key, "b.item", "b.score")
+    )
+    won = won.join(cases.select("case", "sid", "full"), "case").select("sid", "full", "b.item", "b.score")
+    return held.join(won, ["sid", "full"]).select(key, "item", "score")
 
 
 def ungrounded_numbers(texts: DataFrame, key: str, text: str, facts: DataFrame) -> DataFrame:

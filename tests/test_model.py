@@ -126,16 +126,6 @@ def test_headlines_are_grounded(spark, sf):
     assert E.banned_terms(i, "place_id", "headline", C.BANNED_TERMS).count() == 0
 
 
-def test_names_standing_in_full_for_a_large_catalogue(spark):
-    words = ["plough", "seeder", "rake", "baler", "mower"]
-    names = [f"{a} {b} {chr(97 + i)}{chr(97 + j)}" for a in words for b in words for i in range(5) for j in range(5)]
-    texts = [f"has {names[i]} and {names[-i - 1]}s" for i in range(40)] + ["", "rake", "plough seeder"]
-    t = spark.createDataFrame(list(enumerate(texts)), "text_id int, _q string")
-    n = spark.createDataFrame([(x, x) for x in names], "item string, name string")
-    got = {(r.text_id, r.item) for r in E._named_outright(t, "text_id", n).collect()}
-    assert len(names) > 500 and got == {(i, x) for i, q in enumerate(texts) for x in names if x in q}
-
-
 def test_segments(spark, sf):
     k = QUERIES["k_selection"](spark, sf).toPandas()
     assert k["chosen"].sum() == 1 and k[k.chosen]["k"].between(6, 10).all() and list(k["k"]) == list(range(5, 13))
