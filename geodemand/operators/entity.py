@@ -15,7 +15,7 @@ GENERIC_WORDS = ("tractor", "farm", "type", "with", "unit")
 def plain_words(c: str | Column, letters: str = "a-z") -> Column:
     """Lower-case letters of the given alphabet and single blanks only."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"[^{letters} ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(c), f"[^{letters}]+", " "))
 
 
 GRAM = 5  # characters of a one-word name that a token is probed with
@@ -70,7 +70,12 @@ def _parts_in(tokens: DataFrame, probes: DataFrame) -> DataFrame:
     return met.select("token", _label(F.col("kind"), F.col("word")).alias("part")).distinct()
 
 
-def _held_in_full(q: DataFrame, key: str, held: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+def _digest(*lists: str) -> Column:
+    """One text that stands for lists of words."""
+    return F.sha2(F.concat_ws("\n", *[F.concat_ws("|", c) for c in lists]), 256)
+
+
+def _held_in_full(q: DataFrame, key: str, held: DataFrame, names: DataFrame) -> DataFrame:
     """Per text with its set of parts (`held`) the names that stand in it in full.
 
     Sets of parts meet names by these parts; only the texts of a set that has all parts of a name
@@ -85,15 +90,14 @@ def _held_in_full(q: DataFrame, key: str, held: DataFrame, sets: DataFrame, name
     )
     parts = F.array_distinct(F.when(F.size(words) > 1, several).otherwise(F.array(F.concat(F.lit("holds:"), F.col("name")))))
     w = w.select("name", parts.alias("parts"), (F.size(words) > 1).alias("several")).select("name", "several", F.size("parts").alias("m"), F.explode("parts").alias("part"))
-    s = sets.select("sid", F.explode("parts").alias("part"))
+    s = held.select("sid", "parts").dropDuplicates(["sid"]).select("sid", F.explode("parts").alias("part"))
     met = s.join(w, "part").groupBy("sid", "name", "several", "m").agg(F.count(F.lit(1)).alias("n")).where("n = m")
     per = met.groupBy("sid").agg(
         F.collect_list(F.when(~F.col("several"), F.col("name"))).alias("sure"), F.collect_list(F.when(F.col("several"), F.col("name"))).alias("asked")
     )
-    per = save_table(held.select(key, "sid").join(per, "sid"), "mention-asked")
-    looked = per.where(F.size("asked") > 0).join(q, key).select(key, F.filter("asked", lambda n: F.contains(F.col("_q"), n)).alias("found"))
-    both = per.join(looked, key, "left").select(key, F.array_sort(F.concat("sure", F.coalesce("found", F.array().cast("array<string>")))).alias("full"))
-    return both.where(F.size("full") > 0)
+    per = held.select(key, "sid").join(per, "sid")
+    looked = per.where(F.size("asked") > 0).join(q, key).select(key, F.concat("sure", F.filter("asked", lambda n: F.contains(F.col("_q"), n))).alias("full"))
+    return per.where(F.size("asked") == 0).select(key, F.col("sure").alias("full")).unionByName(looked).select(key, F.array_sort("full").alias("full"))
 
 
 def product_mentions(
@@ -115,17 +119,15 @@ def product_mentions(
     names = save_table(names.withColumn("words", words).distinct(), "mention-names")
 
     tokens = q.select(F.explode(F.split("_q", " ")).alias("token")).distinct()
-    index = save_table(_parts_in(tokens, save_table(_probes_of_names(names), "mention-probes")), "mention-index")
+    index = _parts_in(tokens, _probes_of_names(names))
     per_text = q.select(key, F.explode(F.array_distinct(F.split("_q", " "))).alias("token")).join(index, "token")
-    held = save_table(per_text.groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("parts")), "mention-held")
-    sets = save_table(held.select("parts").distinct().withColumn("sid", F.monotonically_increasing_id()), "mention-sets")
-    held = held.join(sets, "parts").select(key, "sid")
+    held = per_text.groupBy(key).agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    held = save_table(held.withColumn("sid", _digest("parts")), "mention-held")
 
-    full = _held_in_full(q, key, held, sets, names)
-    none = F.array().cast("array<string>")
-    held = save_table(held.join(full, key, "left").select(key, "sid", F.coalesce("full", none).alias("full")), "mention-full")
-    cases = held.select("sid", "full").distinct().withColumn("case", F.monotonically_increasing_id())
-    cases = save_table(cases.join(sets, "sid").select("case", "sid", "full", "parts"), "mention-cases")
+    full = _held_in_full(q, key, held, names)
+    full = held.join(full, key, "left").select(key, "parts", F.coalesce("full", F.array().cast("array<string>")).alias("full"))
+    held = save_table(full.withColumn("case", _digest("parts", "full")), "mention-full")
+    cases = held.select("case", "parts", "full").dropDuplicates(["case"])
 
     outright = cases.select("case", F.explode("full").alias("name")).join(names, "name").select("case", "item", "ceiling", (F.length("name") * 2.0).alias("score"))
     forms = cases.select("case", "full", F.transform(F.filter("parts", lambda p: F.startswith(p, F.lit("form:"))), lambda p: F.substring_index(p, ":", -1)).alias("forms"))
@@ -140,8 +142,7 @@ def product_mentions(
     won = close.groupBy("case").agg(
         F.min_by(F.struct("item", "score"), F.struct((-F.col("ceiling")).alias("c"), (-F.col("score")).alias("s"), "item")).alias("b")
     )
-    won = won.join(cases.select("case", "sid", "full"), "case").select("sid", "full", "b.item", "b.score")
-    return held.join(won, ["sid", "full"]).select(key, "item", "score")
+    return held.select(key, "case").join(won.select("case", "b.item", "b.score"), "case").select(key, "item", "score")
 
 
 def ungrounded_numbers(texts: DataFrame, key: str, text: str, facts: DataFrame) -> DataFrame:

@@ -68,6 +68,28 @@ def product_mentions(spark, sf):
     return m.select("text_id", "item", F.round("score", 6).alias("score"))
 
 
+@query(
+    "product_mentions_branded",
+    """, q AS (SELECT text_id, trim(regexp_replace(regexp_replace(lower(txt), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM asked),
+       c AS (SELECT name, CAST(count(*) AS DOUBLE) AS ceiling, list_filter(string_split(name, ' '), lambda w: length(w) > 3 AND w <> 'brand') AS words
+             FROM (SELECT p_name || ' of brand ' || regexp_extract(p_brand, '[0-9]+') AS name FROM part) GROUP BY 1),
+       s AS (SELECT text_id, name, ceiling, CASE WHEN contains(q, name) THEN length(name) * 2e0 ELSE
+          CASE WHEN len(words) > 0 AND h / len(words) >= 0.5 THEN h / len(words) * length(name) ELSE 0 END END AS score
+          FROM (SELECT text_id, q, name, ceiling, words, len(list_filter(words, lambda w: list_contains(ql, w) OR list_contains(ql, w || 's') OR list_contains(ql, rtrim(w, 's')))) AS h
+                FROM (SELECT *, string_split(q, ' ') AS ql FROM q), c)),
+       t AS (SELECT *, max(score) OVER (PARTITION BY text_id) AS top FROM s WHERE score > 0)
+       SELECT text_id, name AS item, round(score, 6) AS score FROM t WHERE top >= 5 AND score >= top * 0.75
+       QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY ceiling DESC, score DESC, name) = 1""",
+    needs=("asked",),
+)
+def product_mentions_branded(spark, sf):
+    """The same over every product of every brand, told apart by the number of the brand."""
+    name = F.concat("p_name", F.lit(" of brand "), F.regexp_extract("p_brand", "[0-9]+", 0))
+    cat = roles.table(spark, sf, "part").groupBy(name.alias("item")).agg(F.count(F.lit(1)).cast("double").alias("ceiling"))
+    m = E.product_mentions(asked(spark, sf), "text_id", "txt", cat.withColumn("name", F.col("item")), generic=("brand",), letters="a-z0-9")
+    return m.select("text_id", "item", F.round("score", 6).alias("score"))
+
+
 @query(
     "grounded_numbers",
     """, n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]{3,}')) AS token FROM documents),
