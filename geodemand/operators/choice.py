@@ -149,12 +149,21 @@ def item_overlap(items: DataFrame, cut: float = OVERLAP_CUT) -> DataFrame:
     ).where(F.col("overlap") >= cut)
 
 
+PAIRS_BESIDE_A_ROW = 100_000  # hot pairs, a few MB, that are put beside every place; more are joined
+
+
 def _concessions(units: DataFrame, pairs: DataFrame, cut: float, rate: float) -> DataFrame:
-    """Per place and hot pair: the units both count, and which product gives way."""
-    hot = pairs.where(F.col("overlap") >= cut).select("sku_a", "sku_b", (F.col("overlap") * rate).alias("frac"))
-    a = units.select("place_id", F.col("sku_id").alias("sku_a"), F.col("units").alias("ua"))
-    b = units.select("place_id", F.col("sku_id").alias("sku_b"), F.col("units").alias("ub"))
-    j = a.join(hot, "sku_a").join(b, ["place_id", "sku_b"])
+    """Per place and hot pair: the units both count, and which product gives way.
+
+    units: one row per place and product. The lines of a place are gathered into one map, as long as
+    the catalogue, and every line looks its partners up in it: nothing of the fact is joined to
+    itself, and what follows per place needs no further exchange.
+    """
+    hot = save_table(pairs.where(F.col("overlap") >= cut).select("sku_a", "sku_b", (F.col("overlap") * rate).alias("frac")), "hot-pairs")
+    if hot.count() > PAIRS_BESIDE_A_ROW:
+        j = _joined_pairs(units, hot)
+    else:
+        j = _pairs_in_row(units, hot)
     # Lines equal up to rounding noise count as equal, and the first one gives way.
     a_gives = F.col("ua") <= F.col("ub") + 1e-12
     return j.select(
@@ -165,6 +174,29 @@ def _concessions(units: DataFrame, pairs: DataFrame, cut: float, rate: float) ->
     )
 
 
+def _joined_pairs(units: DataFrame, hot: DataFrame) -> DataFrame:
+    a = units.select("place_id", F.col("sku_id").alias("sku_a"), F.col("units").alias("ua"))
+    b = units.select("place_id", F.col("sku_id").alias("sku_b"), F.col("units").alias("ub"))
+    return a.join(hot, "sku_a").join(b, ["place_id", "sku_b"])
+
+
+def _pairs_in_row(units: DataFrame, hot: DataFrame) -> DataFrame:
+    """place_id, sku_a, sku_b, frac, ua, ub, from one row per place; products by their number."""
+    skus = [r[0] for r in hot.select("sku_a").union(hot.select("sku_b")).distinct().orderBy("sku_a").collect()]
+    numbers = units.sparkSession.createDataFrame(list(enumerate(skus)), f"_i int, sku_id {units.schema['sku_id'].dataType.simpleString()}")
+    number = {s: i for i, s in enumerate(skus)}
+    beside: list[list[tuple[int, float]]] = [[] for _ in skus]
+    for r in hot.collect():
+        beside[number[r["sku_a"]]].append((number[r["sku_b"]], r["frac"]))
+    one = units.sparkSession.createDataFrame([(skus, beside)], "skus array<string>, beside array<array<struct<_b:int,frac:double>>>")
+    partners, names = (one.select(c).scalar() for c in ("beside", "skus"))
+    lines = units.join(numbers, "sku_id").groupBy("place_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", "units"))).alias("_m"))
+    own = lines.select("place_id", "_m", F.explode("_m").alias("_a", "ua"))
+    met = own.select("place_id", "_m", "_a", "ua", F.inline(F.get(partners, F.col("_a"))))
+    met = met.withColumn("ub", F.col("_m")[F.col("_b")]).where(F.col("ub").isNotNull())
+    return met.select("place_id", F.get(names, F.col("_a")).alias("sku_a"), F.get(names, F.col("_b")).alias("sku_b"), "frac", "ua", "ub")
+
+
 def displacement_by_pair(units: DataFrame, pairs: DataFrame, min_units: float = 1.0, cut=DISPLACEMENT_CUT, rate=CAPTURE_RATE) -> DataFrame:
     """Units and value that each pair of own products both count."""
     c = _concessions(units, pairs, cut, rate)
