@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from geodemand.operators import many_means as M
 from geodemand.operators import segments as G
 from geodemand.plans import place_role as PR
 from geodemand.plans.insight import base_insights
@@ -44,15 +46,72 @@ def segment_stability(spark, sf):
     return G.stability(vectors(spark, sf), 6)
 
 
+@query("segment_stability_range", "SELECT CAST(r AS INT) AS resample, true AS in_range FROM unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS t(r)")
+def segment_stability_range(spark, sf):
+    """Agreement of every resample's fit with the reference lies between none and full."""
+    s = G.stability(vectors(spark, sf), 6)
+    return s.select("resample", F.col("ari").between(-0.5, 1.0).alias("in_range"))
+
+
+@query(
+    "archetype_profiles_complete",
+    "SELECT count(*) AS n_places, true AS names_differ, true AS shares_make_the_whole FROM place",
+    needs=("place",),
+)
+def archetype_profiles_complete(spark, sf):
+    """The archetypes hold every place once, under names of their own."""
+    p = archetype_profiles(spark, sf)
+    return p.agg(
+        F.sum("n_places").alias("n_places"), (F.countDistinct("archetype") == F.count(F.lit(1))).alias("names_differ"),
+        (F.abs(F.sum("share_pct") - 100) < 1).alias("shares_make_the_whole"),
+    )
+
+
 @query("archetype_profiles")
 def archetype_profiles(spark, sf):
     return G.name_archetypes(PR.features(spark, sf).join(labels(spark, sf), "place_id"), "cluster", NUMERIC)
 
 
+def micro(spark, sf):
+    f = PR.features(spark, sf).withColumnRenamed("segment", "archetype")
+    build = lambda: G.micro_segments(f, "place_id", "archetype", MICRO)
+    return stage(spark, "micro_segments", roles.paths(sf, *PR.INPUTS), build)
+
+
 @query("micro_segments")
 def micro_segments(spark, sf):
-    f = PR.features(spark, sf).withColumnRenamed("segment", "archetype")
-    return G.micro_segments(f, "place_id", "archetype", MICRO)
+    return micro(spark, sf)
+
+
+@query(
+    "micro_segments_complete",
+    """SELECT segment AS archetype, count(*) AS n_places, count(*) AS n_labelled, CAST(0 AS BIGINT) AS n_misnumbered, true AS number_in_range
+       FROM place GROUP BY 1""",
+    needs=("place",),
+)
+def micro_segments_complete(spark, sf):
+    """Every place has one label; labels count down from the largest segment; there are two to four of them."""
+    sizes = micro(spark, sf).groupBy("archetype", "micro_segment").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("place_id").alias("places"))
+    w = F.array_sort(F.collect_list(F.struct("micro_segment", "n")))
+    g = sizes.groupBy("archetype").agg(F.sum("n").alias("n_labelled"), F.sum("places").alias("n_places"), w.alias("w"))
+    off = F.filter("w", lambda x, i: (x["micro_segment"] != i) | ((i > 0) & (x["n"] > F.get("w", i - 1)["n"])))
+    return g.select("archetype", "n_places", "n_labelled", F.size(off).cast("bigint").alias("n_misnumbered"), F.size("w").between(2, 4).alias("number_in_range"))
+
+
+@query(
+    "segment_fits_add_up",
+    """SELECT CAST(k AS INT) AS k, (SELECT count(*) FROM place) AS n_places, 1e0 AS explained_and_left
+       FROM unnest([5, 6, 7, 8, 9, 10, 11, 12]) AS t(k)""",
+    needs=("place",),
+)
+def segment_fits_add_up(spark, sf):
+    """In every fit all places are dealt out, and what the centres explain and what is left make the whole."""
+    points = G.save_table(M.points_of(vectors(spark, sf), "place_id", vector_to_array("features")), "points")
+    models = [M.Model(f"k{k}", k) for k in G.K_RANGE]
+    centres = M.fit(points, models, 10)
+    stats = M.sums(points, models, centres)
+    rows = [(m.k, int(sum(v[0] for v in stats[i].values())), round(q[4], 6)) for i, (m, q) in enumerate(zip(models, M.quality(points, models, centres), strict=True))]
+    return spark.createDataFrame(rows, "k int, n_places long, explained_and_left double")
 
 
 @query("embedding_segments")
