@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from geodemand.functions.scalars import letters_and_digits
 from geodemand.session import parallelism, save_table
+from geodemand.sources.features import feature_texts
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -58,13 +59,11 @@ def read_geojson(
     """Features of a GeoJSON file as state key, district key, and their rings.
 
     Property names differ by publisher, so the first present name of each list is taken,
-    ignoring case. Polygon and MultiPolygon both come out as a flat list of rings.
+    ignoring case. Polygon and MultiPolygon both come out as a flat list of rings. A large file is
+    read by many tasks.
     """
-    raw = spark.read.schema(
-        "features array<struct<properties:map<string,string>,"
-        "geometry:struct<type:string,coordinates:string>>>"
-    ).json(path, multiLine=True)
-    f = raw.select(F.explode("features").alias("f")).select(
+    schema = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    f = feature_texts(spark, path).select(F.from_json("feature", schema).alias("f")).select(
         F.map_from_entries(
             F.transform(
                 F.map_entries("f.properties"),
