@@ -18,6 +18,7 @@ from geodemand.session import parallelism
 STRIPPED = " \t\n\x0b\x0c\r"
 MIN_LENGTH = 1
 MIN_DOCS = 10
+ROW = "_line_dedup_row"
 
 
 def _lines(text: str) -> Column:
@@ -74,11 +75,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_do
 
     Null and empty texts are one empty line, which has no key and stays. Lines of white space only
     have an empty key and stay. A line repeated inside one document counts that document once.
-    Rows with the same key are one document whose lines are counted by position, so keys should be
-    unique. Other columns, clashing names included, are carried through.
+    Every row is a document of its own, told apart by a row number that is written first: rows with
+    a null or repeated key lose the lines of theirs that are common, and no others. `key` is not read.
+    Other columns, clashing names included, are carried through.
     """
-    b = keep_bitmaps(docs, key, text, min_docs, min_length).select(F.col(key).alias("_bk"), F.col("runs").alias("_runs"))
-    joined = docs.join(b, docs[key].eqNullSafe(b["_bk"]), "left")
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    b = keep_bitmaps(rows, ROW, text, min_docs, min_length).select(F.col(ROW).alias("_bk"), F.col("runs").alias("_runs"))
+    joined = rows.join(b, rows[ROW] == b["_bk"], "left")
     lines = _lines(text)
     flags = F.flatten(F.transform("_runs", lambda n, i: F.array_repeat(i % 2 == 1, n)))
     kept = F.filter(F.col("_lines"), lambda x, i: ~F.coalesce(F.get(F.col("_gone"), i), F.lit(False)))
@@ -88,5 +91,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_do
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda x: x))).cast("long"))
         .withColumn("kept_text", F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")))
-        .drop("_bk", "_runs", "_lines", "_gone")
+        .drop("_bk", "_runs", "_lines", "_gone", ROW)
     )

@@ -218,6 +218,33 @@ def test_line_dedup(spark, texts, docs):
         assert x.k == 7 and x.size == 9
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    """Every row is a document: one with the id of another, or none, loses its own common lines only."""
+    shared = [(i, f"shared\nown {i}") for i in range(9)]
+    odd = [(50, "shared\nunique A\nunique B")] * 2 + [(None, "clean first\nSHARED "), (None, "shared\nlast"), (7, "other\nother\nother")]
+    once = [(60, "a\nb")] * 9
+    rows = shared + odd + once
+    got = Counter((x.doc_id, x.text, x.n_lines, x.n_dropped, x.kept_text) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = Counter()
+    for i, t in rows:
+        kept = [y for y in t.split("\n") if y.strip().lower() != "shared"]
+        want[i, t, t.count("\n") + 1, t.count("\n") + 1 - len(kept), "\n".join(kept)] += 1
+    assert got == want
+
+
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    """Line dedup and near copies go by row: clean rows stay whatever their id."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"w{i * 31 % 97 + j}" for j in range(i % 5 + 30)) for i in range(40)]
+    rows = [(None, texts[0], "en", "s", 9), (None, texts[1], "en", "s", 9), (3, texts[2], "en", "s", 9), (3, texts[3], "en", "s", 9), (3, texts[2], "en", "s", 9), (1, texts[3], "en", "s", 9), (None, None, None, None, 0), (None, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = Counter((x.doc_id, x.text) for x in corpus_pipeline.keep_first_of_near_copies(spark, docs, str(tmp_path)).collect())
+    assert left == Counter({(None, texts[0]): 1, (None, texts[1]): 1, (3, texts[2]): 1, (1, texts[3]): 1, (None, None): 1, (None, ""): 1})
+    none = corpus_pipeline.keep_first_of_near_copies(spark, docs.limit(0), str(tmp_path))
+    assert none.count() == 0 and none.columns == docs.columns
+
+
 def test_licences(spark):
     r = random.Random(3)
     words = "gnu general public license apache cc by mit the under licensed released version 2 0 nc 4 x é".split()
