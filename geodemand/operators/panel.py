@@ -63,13 +63,28 @@ def uplift(panel: DataFrame, group: str, month: str, log_total: str, components:
     )
 
 
+def every_month(panel: DataFrame, group: str, month: str) -> DataFrame:
+    """The panel with a row for every month from a group's first to its last; months it lacks hold nulls.
+
+    On it a lag of rows is a lag of months.
+    """
+    ends = panel.groupBy(group).agg(F.min(F.trunc(month, "month")).alias("_a"), F.max(F.trunc(month, "month")).alias("_b"))
+    calendar = ends.select(F.col(group).alias("_g"), F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("_m"))
+    here = calendar["_g"].eqNullSafe(panel[group]) & (calendar["_m"] == F.trunc(panel[month], "month"))
+    return calendar.join(panel, here, "left").select(
+        F.col("_g").alias(group), F.col("_m").cast("date").alias(month), *[c for c in panel.columns if c not in (group, month)]
+    )
+
+
 def seasonal_naive(panel: DataFrame, group: str, month: str, y: str, horizon: int = HORIZON) -> DataFrame:
-    """Error of repeating last year's month over the last months of each group."""
-    w = Window.partitionBy(group).orderBy(month)
-    back = Window.partitionBy(group).orderBy(F.desc(month))
-    p = panel.select(
-        group, y, F.lag(y, SEASON).over(w).alias("_f"), F.row_number().over(back).alias("_r")
-    ).where((F.col("_r") <= horizon) & F.col("_f").isNotNull())
+    """Error of repeating the same month of the year before over the last calendar months of each group.
+
+    Months that the panel lacks, or whose forerunner it lacks, are left out.
+    """
+    by = Window.partitionBy(group)
+    p = every_month(panel, group, month).select(
+        group, y, F.lag(y, SEASON).over(by.orderBy(month)).alias("_f"), F.months_between(F.max(month).over(by), month).alias("_back")
+    ).where((F.col("_back") < horizon) & F.col("_f").isNotNull() & F.col(y).isNotNull())
     return p.groupBy(group).agg(
         (F.avg(F.abs(F.col(y) - F.col("_f")) / F.col(y)) * 100).alias("snaive_mape"), F.count(F.lit(1)).alias("n")
     )
@@ -82,13 +97,16 @@ def month_residual(panel: DataFrame, group: str, month: str, y: str, out: str) -
 
 
 def autocorrelations(df: DataFrame, group: str, month: str, resid: str, lags: int = 12) -> DataFrame:
-    """Residual autocorrelation at each lag, and the portmanteau statistic over all of them."""
+    """Residual autocorrelation at each lag of months, and the portmanteau statistic over all of them.
+
+    A pair of months counts where the panel has both.
+    """
     by = Window.partitionBy(group)
     w = by.orderBy(month)
-    d = df.withColumn("_e", F.col(resid) - F.avg(resid).over(by))
+    d = every_month(df.select(group, month, resid), group, month).withColumn("_e", F.col(resid) - F.avg(resid).over(by))
     d = d.select(group, "_e", *[(F.col("_e") * F.lag("_e", k).over(w)).alias(f"_p{k}") for k in range(1, lags + 1)])
     g = d.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("_e").alias("n"),
         F.sum(F.col("_e") * F.col("_e")).alias("_v"),
         *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, lags + 1)],
     )
@@ -269,18 +287,24 @@ def _fit(pdf: pd.DataFrame, regressors: list[str], min_obs: int, horizon: int) -
     like = n * math.log(max(rss, 1e-300) / n)
     d = resid - resid.mean()
     v = float(d @ d)
-    q = sum((float(d[j:] @ d[:-j]) / v) ** 2 / (n - j) for j in range(1, 13)) * n * (n + 2) if v > 0 else 0.0
+    at = t.astype(int)  # months from the first; those the series lacks stay empty
+    dense, levels = np.zeros(at[-1] + 1), np.full(at[-1] + 1, np.nan)
+    dense[at], levels[at] = d, ly
+    q = sum((float(dense[j:] @ dense[:-j]) / v) ** 2 / (n - j) for j in range(1, 13)) * n * (n + 2) if v > 0 else 0.0
     m2 = v / n
     if m2 > 0:
         skew, kurt = float((d**3).mean()) / m2**1.5, float((d**4).mean()) / m2**2 - 3
     else:
         skew = kurt = 0.0
     if n > horizon + 2 * SEASON:
-        c2, _, _ = _solve(a[:-horizon], ly[:-horizon])
-        actual = np.exp(ly[-horizon:])
-        out["backtest_mape"] = _mape(actual, np.exp(a[-horizon:] @ c2))
-        out["snaive_mape"] = _mape(actual, np.exp(ly[-horizon - SEASON : n - SEASON]))
-        out["beats_snaive"] = bool(out["backtest_mape"] < out["snaive_mape"])
+        held = at > at[-1] - horizon
+        c2, _, _ = _solve(a[~held], ly[~held])
+        out["backtest_mape"] = _mape(np.exp(ly[held]), np.exp(a[held] @ c2))
+        before = levels[at[held] - SEASON]
+        known = ~np.isnan(before)
+        if known.any():
+            out["snaive_mape"] = _mape(np.exp(ly[held][known]), np.exp(before[known]))
+            out["beats_snaive"] = bool(out["backtest_mape"] < out["snaive_mape"])
     tstat = np.divide(beta, beta_se, out=np.full(k, np.nan), where=beta_se > 0)
     out.update(
         ok=True,

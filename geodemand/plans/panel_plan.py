@@ -80,8 +80,8 @@ def uplift_attribution(spark, sf):
 
 cte(
     "snaive",
-    """SELECT district_id, avg(abs(y - f) / y) * 100 AS mape, count(*) AS n FROM (SELECT district_id, y, lag(y, 12) OVER (PARTITION BY district_id ORDER BY month) AS f,
-          row_number() OVER (PARTITION BY district_id ORDER BY month DESC) AS r FROM panel) WHERE r <= 12 AND f IS NOT NULL GROUP BY 1""",
+    """SELECT a.district_id, avg(abs(a.y - b.y) / a.y) * 100 AS mape, count(*) AS n FROM panel a JOIN panel b ON b.district_id = a.district_id AND b.month = a.month - INTERVAL 12 MONTH
+       JOIN (SELECT district_id, max(month) AS last FROM panel GROUP BY 1) l ON l.district_id = a.district_id WHERE a.month > l.last - INTERVAL 12 MONTH GROUP BY 1""",
     "panel",
 )
 
@@ -119,11 +119,11 @@ _LAGS = range(1, 13)
 
 @query(
     "autocorr_lags",
-    ", d AS (SELECT district_id, month, e - avg(e) OVER (PARTITION BY district_id) AS e FROM resid), p AS (SELECT district_id, e, "
-    + ", ".join(f"e * lag(e, {k}) OVER w AS p{k}" for k in _LAGS)
-    + " FROM d WINDOW w AS (PARTITION BY district_id ORDER BY month)), g AS (SELECT district_id, count(*) AS n, "
-    + ", ".join(f"sum(p{k}) / sum(e * e) AS r{k}" for k in _LAGS)
-    + " FROM p GROUP BY 1) SELECT district_id, n, "
+    ", d AS (SELECT district_id, month, e - avg(e) OVER (PARTITION BY district_id) AS e FROM resid),"
+    + " c AS (SELECT a.district_id, date_diff('month', b.month, a.month) AS k, sum(a.e * b.e) AS s FROM d a JOIN d b ON b.district_id = a.district_id AND b.month <= a.month GROUP BY 1, 2),"
+    + " g AS (SELECT district_id, (SELECT count(*) FROM d WHERE d.district_id = c.district_id) AS n, "
+    + ", ".join(f"sum(s) FILTER (k = {k}) / sum(s) FILTER (k = 0) AS r{k}" for k in _LAGS)
+    + " FROM c GROUP BY 1) SELECT district_id, n, "
     + ", ".join(f"round(r{k}, 6) AS rho_{k}" for k in _LAGS)
     + ", round(n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in _LAGS) + "), 5) AS ljung_box FROM g",
     needs=("resid",),

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from geodemand.operators import panel as P
 
@@ -83,3 +84,38 @@ def test_vif_of_unrelated_and_collinear(spark):
     x = np.column_stack([np.ones(500), df.b, df.c])
     r2 = 1 - np.var(df.a - x @ np.linalg.lstsq(x, df.a, rcond=None)[0]) / np.var(df.a)
     assert v["a"]["vif"] == pytest.approx(1 / (1 - r2), rel=1e-6)
+
+
+def gappy(series):
+    """The series without some months of every group, the last year's and its forerunners' among them."""
+    n = series.groupby("g").cumcount()
+    size = series.groupby("g")["month"].transform("size")
+    return series[~n.isin([7, 30, 31]) & ~(size - n).isin([3, 17, 20])]
+
+
+def test_lags_count_months_not_rows(spark, series):
+    p = gappy(series)
+    df = spark.createDataFrame(p).repartition(3)
+    dense = P.every_month(df, "g", "month").toPandas()
+    assert len(dense) == len(series) and dense["y"].notna().sum() == len(p)
+    naive = {r.g: (r.snaive_mape, r.n) for r in P.seasonal_naive(df, "g", "month", "y").collect()}
+    rho = {r.g: r for r in P.autocorrelations(df.withColumn("e", F.log("y")), "g", "month", "e").collect()}
+    for g, rows in p.groupby("g"):
+        y = {pd.Period(m, "M"): v for m, v in zip(rows["month"], rows["y"])}
+        last = max(y)
+        err = [abs(v - y[m - 12]) / v for m, v in y.items() if m > last - 12 and m - 12 in y]
+        assert naive[g] == (pytest.approx(np.mean(err) * 100), len(err)) and len(err) in (7, 9)
+        mean = np.mean(np.log(list(y.values())))
+        e = {m: np.log(v) - mean for m, v in y.items()}
+        total = sum(v * v for v in e.values())
+        for k in (1, 5, 12):
+            assert rho[g][f"rho_{k}"] == pytest.approx(sum(v * e[m - k] for m, v in e.items() if m - k in e) / total)
+        assert rho[g]["n"] == len(y)
+
+
+def test_fit_of_a_series_with_gaps(spark, series):
+    p = gappy(series)
+    f = {r.group_id: r for r in P.diagnostics(P.fit_groups(spark.createDataFrame(p), "g", "month", "y", list(TRUE))).collect()}
+    naive = {str(r.g): r.snaive_mape for r in P.seasonal_naive(spark.createDataFrame(p), "g", "month", "y").collect()}
+    for g in "01234":
+        assert f[g].ok and f[g].snaive_mape == pytest.approx(naive[g]) and f[g].beats_snaive
