@@ -245,45 +245,79 @@ def nearest(
 # ---------------------------------------------------------------- polygons
 
 
-def ring_edges(rings: str = "rings") -> Column:
-    """All true edges of all rings of a shape, each ring closed on itself; level edges left out."""
-    closed = lambda r: F.transform(
+def _all_edges(shapes: DataFrame, shape: str, rings: str) -> DataFrame:
+    """One row per edge of every ring, each ring closed on itself, with the leftmost x of the edge that follows."""
+    at = lambda r, i: F.element_at(r, (i % F.size(r) + 1).cast("int"))
+    edge = lambda r: F.transform(
         r, lambda p, i: F.struct(
-            p[0].alias("x1"), p[1].alias("y1"),
-            F.element_at(r, ((i + 1) % F.size(r) + 1).cast("int"))[0].alias("x2"),
-            F.element_at(r, ((i + 1) % F.size(r) + 1).cast("int"))[1].alias("y2"),
+            p[0].alias("x1"), p[1].alias("y1"), at(r, i + 1)[0].alias("x2"), at(r, i + 1)[1].alias("y2"), F.least(at(r, i + 1)[0], at(r, i + 2)[0]).alias("next")
         )
     )
-    return F.filter(F.flatten(F.transform(F.col(rings), closed)), lambda e: e["y1"] != e["y2"])
+    return shapes.select(shape, F.explode(rings).alias("_r")).select(shape, F.inline(edge(F.col("_r"))))
 
 
-def polygon_extent(shapes: DataFrame, rings: str = "rings") -> DataFrame:
-    xs = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[0])))
-    ys = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[1])))
-    return (
-        shapes.withColumn("_x0", F.array_min(xs)).withColumn("_x1", F.array_max(xs))
-        .withColumn("_y0", F.array_min(ys)).withColumn("_y1", F.array_max(ys))
+def cell_size(edges: DataFrame, shape: str) -> float:
+    """Cells twice as wide as an average edge, at most 16 to the longest edge and 64 to the widest shape."""
+    reach = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    per = edges.groupBy(shape).agg(
+        F.sum(reach).alias("s"), F.count(F.lit(1)).alias("n"), F.max(reach).alias("m"),
+        F.greatest(F.max("x1") - F.min("x1"), F.max("y1") - F.min("y1")).alias("w"),
     )
+    s, n, longest, widest = per.agg(F.sum("s"), F.sum("n"), F.max("m"), F.max("w")).first()
+    return max(2 * s / n, longest / 16, widest / 64) or 1.0 if n else 1.0
 
 
-def in_polygon(points: DataFrame, shapes: DataFrame, shape: str, rings: str = "rings", cell: float = 1.0) -> DataFrame:
+def clipped_cells(shapes: DataFrame, shape: str, rings: str = "rings", cell: float | None = None) -> DataFrame:
+    """What a point of a grid cell needs to know of a shape: shape, _cx, _cy, _edges, _ys, _odd.
+
+    A ray to the right crosses three kinds of edges. Those that reach into the cell's column are
+    looked at one by one; a cell holds the ones that also reach into its row. Those to the left are never
+    crossed. Of those to the right, a run along the ring is crossed an odd number of times if its
+    two ends lie on different sides of the ray; so the ends are all that is kept. The ends in the
+    cell's own row stay with the cell, those in the rows above are one parity.
+    """
+    edges = _all_edges(shapes, shape, rings)
+    if cell is None:
+        edges = save_table(edges, "edges")
+        cell = cell_size(edges, shape)
+    grid = lambda c: F.floor(c / F.lit(float(cell))).cast("bigint")
+    e = edges.withColumn("_c", grid(F.least("x1", "x2"))).withColumn("_n", grid(F.col("next")))
+    listed = e.where("y1 != y2").select(
+        shape, F.struct("x1", "y1", "x2", "y2").alias("_edge"), F.explode(F.sequence("_c", grid(F.greatest("x1", "x2")))).alias("_cx"),
+        grid(F.least("y1", "y2")).alias("_lo"), grid(F.greatest("y1", "y2")).alias("_hi"),
+    ).select(shape, "_cx", F.explode(F.sequence("_lo", "_hi")).alias("_cy"), "_edge")
+    ends = e.where("_c != _n").select(
+        shape, F.explode(F.sequence(F.least("_c", "_n"), F.greatest("_c", "_n") - 1)).alias("_cx"), grid(F.col("y2")).alias("_cy"), F.col("y2").alias("_y")
+    )
+    # Rows with an odd number of ends above them: from the second end up to below the first, and so on.
+    down = F.reverse(F.array_sort(F.collect_list("_cy")))
+    spans = ends.groupBy(shape, "_cx").agg(down.alias("_d")).select(
+        shape, "_cx", F.explode(F.filter(F.transform("_d", lambda d, i: F.struct(F.get("_d", i + 1).alias("lo"), (d - 1).alias("hi"), (i % 2).alias("i"))), lambda s: (s["i"] == 0) & (s["lo"] <= s["hi"]))).alias("s")
+    )
+    odd = spans.select(shape, "_cx", F.explode(F.sequence(F.col("s.lo"), F.col("s.hi"))).alias("_cy"), F.lit(1).alias("_odd"))
+    parts = listed.unionByName(ends, allowMissingColumns=True).unionByName(odd, allowMissingColumns=True)
+    return parts.groupBy(shape, "_cx", "_cy").agg(
+        F.collect_list("_edge").alias("_edges"), F.collect_list("_y").alias("_ys"), F.coalesce(F.max("_odd"), F.lit(0)).alias("_odd")
+    ).withColumn("_cell", F.lit(float(cell)))
+
+
+def in_polygon(points: DataFrame, shapes: DataFrame, shape: str, rings: str = "rings", cell: float | None = None) -> DataFrame:
     """Points with the shapes that contain them, by the even-odd rule over all rings.
 
-    Shapes are spread over the grid cells of their extent, points meet them by cell, and the
-    crossing parity is worked out in the row from the shape's edges.
+    Points meet the cells of a grid whose size is taken from the shapes, and look at the edges of their
+    own cell only.
     """
-    s = polygon_extent(shapes, rings).withColumn("_edges", ring_edges(rings))
-    grid = lambda c: F.floor(c / cell).cast("bigint")
-    s = s.select(
-        F.col(shape), "_edges", "_x0", "_x1", "_y0", "_y1",
-        F.explode(F.sequence(grid(F.col("_x0")), grid(F.col("_x1")))).alias("_cx"),
-    ).withColumn("_cy", F.explode(F.sequence(grid(F.col("_y0")), grid(F.col("_y1")))))
+    s = save_table(clipped_cells(shapes, shape, rings, cell), "cells")
+    size = s.select(F.max("_cell")).first()[0]
+    if size is None:
+        return points.limit(0).withColumn(shape, F.lit(None).cast(shapes.schema[shape].dataType))
+    grid = lambda c: F.floor(c / F.lit(size)).cast("bigint")
     p = points.withColumn("_cx", grid(F.col("lon"))).withColumn("_cy", grid(F.col("lat")))
     key = ["_cx", "_cy"]
     crowded = hot_keys(p.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), key, "_n")
     pairs = salted_join(p, s, key, crowded, points.columns)
     x, y = F.col("lon"), F.col("lat")
-    inside_box = (x >= F.col("_x0")) & (x <= F.col("_x1")) & (y >= F.col("_y0")) & (y <= F.col("_y1"))
+    above = F.aggregate("_ys", F.col("_odd"), lambda a, v: a + (v > y).cast("int"))
     crossings = F.aggregate(
         "_edges",
         F.lit(0),
@@ -292,7 +326,7 @@ def in_polygon(points: DataFrame, shapes: DataFrame, shape: str, rings: str = "r
             ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1
         ).otherwise(0),
     )
-    return pairs.where(inside_box).where(crossings % 2 == 1).select(*points.columns, shape)
+    return pairs.where((above + crossings) % 2 == 1).select(*points.columns, shape)
 
 
 def ring_measures(shapes: DataFrame, shape: str, rings: str = "rings", min_area: float = 0.0) -> DataFrame:
