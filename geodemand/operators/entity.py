@@ -174,6 +174,26 @@ def _grams(c: str) -> Column:
     return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
 
+def candidates(parts: DataFrame, wholes: DataFrame, by: str) -> DataFrame:
+    """(by, part, whole) where the whole has the part's rarest run and is no shorter.
+
+    Of the runs of a part, three characters each, the one that fewest wholes have is looked up, so
+    names that share a stem meet over what tells them apart.
+    """
+    runs = wholes.where(F.length("x") > 0).select(by, F.col("x").alias("whole"), F.explode(_grams("x")).alias("_g"))
+    counts = runs.groupBy(by, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length("x") < 3, F.array("x")).otherwise(F.regexp_extract_all("x", F.lit("(?=(.{3}))"), F.lit(1)))
+    probes = parts.where(F.length("x") > 0).select(by, F.col("x").alias("part"), F.explode(F.array_distinct(own)).alias("_g"))
+    known = probes.join(counts, [by, "_g"], "left").groupBy(by, "part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r"))
+    rarest = known.where("_r.n > 0").select(by, "part", F.col("_r._g").alias("_g"))
+    return rarest.join(runs, [by, "_g"]).where(F.length("whole") >= F.length("part")).select(by, "part", "whole")
+
+
+def contained(parts: DataFrame, wholes: DataFrame, by: str) -> DataFrame:
+    """(by, part, whole) of distinct keys `x` of both sides where the whole contains the part."""
+    return candidates(parts, wholes, by).where(F.contains(F.col("whole"), F.col("part")))
+
+
 def alias_join(rows: DataFrame, key: str, state: str, name: str, geo: DataFrame, aliases: DataFrame) -> DataFrame:
     """Match names to geometry keys of the same state: alias candidates in order, then the exact
     key, then containment either way; keys taken more than once are flagged as shared.
@@ -187,16 +207,10 @@ def alias_join(rows: DataFrame, key: str, state: str, name: str, geo: DataFrame,
     t = r.select(key, "state_key", F.posexplode(tries).alias("prio", "name_key"))
     first = t.join(geo, ["state_key", "name_key"]).groupBy(key).agg(F.min_by("name_key", "prio").alias("geo_key"))
     rest = r.join(first, key, "left_anti").select(key, "state_key", "_n")
-    # The shorter of two keys that contain one another starts with a run the longer one has.
-    head = lambda c: F.substring(c, 1, 3)
-    g = geo.select("state_key", "name_key")
-    in_geo = rest.withColumn("_g", head("_n")).join(g.withColumn("_g", F.explode(_grams("name_key"))), ["state_key", "_g"]).where(
-        F.contains(F.col("name_key"), F.col("_n"))
-    )
-    in_name = rest.withColumn("_g", F.explode(_grams("_n"))).join(g.withColumn("_g", head("name_key")), ["state_key", "_g"]).where(
-        F.contains(F.col("_n"), F.col("name_key"))
-    )
-    loose = in_geo.unionByName(in_name).groupBy(key).agg(F.min("name_key").alias("geo_key"))
+    names, keys = rest.select("state_key", F.col("_n").alias("x")).distinct(), geo.select("state_key", F.col("name_key").alias("x")).distinct()
+    in_geo = contained(names, keys, "state_key").select("state_key", F.col("part").alias("_n"), F.col("whole").alias("name_key"))
+    in_name = contained(keys, names, "state_key").select("state_key", F.col("whole").alias("_n"), F.col("part").alias("name_key"))
+    loose = rest.join(in_geo.unionByName(in_name), ["state_key", "_n"]).groupBy(key).agg(F.min("name_key").alias("geo_key"))
     found = first.withColumn("how", F.lit("direct")).unionByName(loose.withColumn("how", F.lit("contained")))
     m = r.select(key, "state_key").join(found, key, "left")
     uses = m.where("geo_key is not null").groupBy("state_key", "geo_key").agg(F.count(F.lit(1)).alias("_u"))
