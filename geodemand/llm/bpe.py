@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from geodemand.llm.common import by_slices, columns_only
 
-REMEMBERED = 300_000  # pieces and words that a task keeps; beyond, the older half goes
+REMEMBERED = 150_000  # pieces and words that a task keeps; beyond, the newer half goes, for what came first comes often
 _SPACE = regex.compile(r"\s+")
 _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
 # Pieces of ASCII and Latin letters that no step but lower-casing changes, and their words.
@@ -128,7 +128,7 @@ class Vocabulary:
         """Encode pieces that are not remembered yet."""
         for kept in (self.pieces, self.words):
             if len(kept) > REMEMBERED:
-                for k in list(kept)[: len(kept) // 2]:
+                for k in list(kept)[REMEMBERED // 2 :]:
                     del kept[k]
         new = [p for p in pieces if p not in self.pieces]
         split = {p: self.words_of(p) for p in new}
