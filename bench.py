@@ -35,6 +35,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from geodemand.plans import QUERIES
     from geodemand.plans import insight as IN
+    from geodemand.plans import levels as LV
     from geodemand.plans import market as MK
     from geodemand.plans import place_role as PR
     from geodemand.plans import scoring as SC
@@ -43,7 +44,7 @@ def main() -> None:
     from geodemand.sources import roles
 
     stages = {
-        "build_fact": roles.fact, "build_panel": panel, "build_features": PR.features, "build_peers": PR.peers, "build_fits": fits,
+        "build_fact": roles.fact, "build_items": LV.items, "build_nodes": LV.nodes, "build_panel": panel, "build_features": PR.features, "build_peers": PR.peers, "build_fits": fits,
         "build_factors": SC.factors, "build_scores": SC.scores, "build_insights": IN.insights, "build_contests": MK.contests,
     }
     times: dict[str, float] = {}
