@@ -68,50 +68,52 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dic
     return {name: np.concatenate(x) if x else np.zeros(0, np.uint64 if name in "hc" else np.int64) for name, x in found.items()}
 
 
-def _folded(h: np.ndarray, c: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+def _folded(h: np.ndarray, c: np.ndarray, k: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
     """Contexts that repeat an earlier one of the same batch are settled here: v turns to -1 - v.
 
     They travel under hashes of their own, so that a context repeated very often meets in one task
     only once for each batch that has it.
     """
-    order = np.lexsort((v, k, c, h))
-    h, c, k, v = h[order], c[order], k[order], v[order]
+    order = np.lexsort((v, x, k, c, h))
+    h, c, k, x, v = h[order], c[order], k[order], x[order], v[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    again = (k != k[head]) | (v != v[head])
-    own = mixed(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.view(np.uint64))
-    return np.where(again, own, h), np.where(again, np.uint64(0), c), k, np.where(again, -1 - v, v)
+    again = (k != k[head]) | (x != x[head]) | (v != v[head])
+    own = mixed((k ^ x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.view(np.uint64))
+    return np.where(again, own, h), np.where(again, np.uint64(0), c), k, x, np.where(again, -1 - v, v)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, c, k, v): every context; v packs its first start, number of further starts, and anchor offset, below 0 if settled."""
+    """(h, c, k, x, v): every context; v packs its first start, number of further starts, and anchor offset, below 0 if settled."""
 
     def run(batches):
         for b in batches:
             for s, e in small_slices(b, "t"):
                 part = b.slice(s, e - s)
                 data, offsets = text_bytes(part.column("t"))
-                x = contexts(data, offsets)
-                v = ((x["lo"] - offsets[x["doc"]]) << 14) | ((x["hi"] - x["lo"]) << 7) | (x["a"] - x["lo"])
-                k = part.column("k").to_numpy(zero_copy_only=False)[x["doc"]].astype(np.int64)
-                h, c, k, v = _folded(x["h"], x["c"], k, v)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k), pa.array(v)], ["h", "c", "k", "v"])
+                found = contexts(data, offsets)
+                v = ((found["lo"] - offsets[found["doc"]]) << 14) | ((found["hi"] - found["lo"]) << 7) | (found["a"] - found["lo"])
+                k, x = (part.column(name).to_numpy(zero_copy_only=False)[found["doc"]].astype(np.int64) for name in "kx")
+                h, c, k, x, v = _folded(found["h"], found["c"], k, x, v)
+                columns = [pa.array(y) for y in (h.view(np.int64), c.view(np.int64), k, x, v)]
+                yield pa.record_batch(columns, ["h", "c", "k", "x", "v"])
 
-    return docs.mapInArrow(run, "h long, c long, k long, v long")
+    return docs.mapInArrow(run, "h long, c long, k long, x long, v long")
 
 
 def _settle(anchors: DataFrame) -> DataFrame:
-    """(k, v, open): contexts equal to an earlier one, and (open) the first of each where a gram has several."""
+    """(k, x, v, open): contexts equal to an earlier one, and (open) the first of each where a gram has several."""
 
     def run(batches):
         last, kinds, held = None, 0, None  # the last row, contexts of its gram so far, the gram's first row if not given out
         for b in batches:
-            h, c, k, v = (b.column(x).to_numpy() for x in ("h", "c", "k", "v"))
+            h, c, k, x, v = (b.column(name).to_numpy() for name in "hckxv")
             done = v < 0
             if done.any():
-                yield pa.record_batch([pa.array(k[done]), pa.array(-1 - v[done]), pa.array(np.zeros(done.sum(), bool))], ["k", "v", "open"])
-                h, c, k, v = h[~done], c[~done], k[~done], v[~done]
+                settled = [pa.array(k[done]), pa.array(x[done]), pa.array(-1 - v[done]), pa.array(np.zeros(done.sum(), bool))]
+                yield pa.record_batch(settled, ["k", "x", "v", "open"])
+                h, c, k, x, v = h[~done], c[~done], k[~done], x[~done], v[~done]
             if not len(h):
                 continue
             new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
@@ -121,30 +123,29 @@ def _settle(anchors: DataFrame) -> DataFrame:
                 new_h[0] = h[0] != last[0]
                 new_c[0] = new_h[0] or c[0] != last[1]
             head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
-            rk = np.where(head >= 0, k[head], last[2] if last is not None else 0)
-            rv = np.where(head >= 0, v[head], last[3] if last is not None else 0)
-            repeat = ~new_c & ((k != rk) | (v != rv))
+            rk, rx, rv = (np.where(head >= 0, y[head], last[i] if last is not None else 0) for i, y in ((2, k), (3, x), (4, v)))
+            repeat = ~new_c & ((k != rk) | (x != rx) | (v != rv))
             group = np.cumsum(new_h)  # 0: the gram carried over
             per = np.bincount(group, weights=new_c, minlength=group[-1] + 1).astype(int)
             per[0] += kinds
             opened = new_c & (per[group] > 1)
-            out = [(k[repeat], v[repeat], np.zeros(repeat.sum(), bool)), (k[opened], v[opened], np.ones(opened.sum(), bool))]
+            out = [(k[which], x[which], v[which], np.full(which.sum(), first)) for which, first in ((repeat, False), (opened, True))]
             if held is not None and per[0] > 1:
-                out.append((np.array([held[0]]), np.array([held[1]]), np.ones(1, bool)))
+                out.append((*(np.array([y]) for y in held), np.ones(1, bool)))
                 held = None
             if group[-1]:
                 held = None
                 kinds = per[group[-1]]
                 first = int(np.flatnonzero(new_h)[-1])
                 if kinds == 1:
-                    held = (k[first], v[first])
+                    held = (k[first], x[first], v[first])
             else:
                 kinds = per[0]
-            last = (h[-1], c[-1], rk[-1], rv[-1])
-            yield pa.record_batch([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["k", "v", "open"])
+            last = (h[-1], c[-1], rk[-1], rx[-1], rv[-1])
+            yield pa.record_batch([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], ["k", "x", "v", "open"])
 
     ways = parallelism(anchors.sparkSession)
-    return anchors.repartition(ways, "h").sortWithinPartitions("h", "c", "k", "v").mapInArrow(run, "k long, v long, open boolean")
+    return anchors.repartition(ways, "h").sortWithinPartitions("h", "c", "k", "x", "v").mapInArrow(run, "k long, x long, v long, open boolean")
 
 
 def shared_prefix(x: bytes, y: bytes, start: int) -> int:
@@ -234,12 +235,12 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]) -> list[tuple[int, int
 
 RUN_SCHEMA = pa.schema(
     [("part", pa.int32()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("left", pa.list_(pa.binary())),
-     ("k", pa.list_(pa.int64())), ("a", pa.list_(pa.int64()))]
+     ("k", pa.list_(pa.int64())), ("x", pa.list_(pa.int64())), ("a", pa.list_(pa.int64()))]
 )
 
 
 def _runs(rows: DataFrame, cuts: list[bytes], length: int) -> DataFrame:
-    """Sorted front-coded runs of the open contexts of rows (k, t, found), cut at the ranges of suffixes."""
+    """Sorted front-coded runs of the open contexts of rows (k, x, t, found), cut at the ranges of suffixes."""
     sent = rows.sparkSession.sparkContext.broadcast(cuts)
 
     def out(entries: list) -> pa.RecordBatch:
@@ -250,7 +251,7 @@ def _runs(rows: DataFrame, cuts: list[bytes], length: int) -> DataFrame:
             if end > at:
                 piece = entries[at:end]
                 shared, rest = front_coded([e[0] for e in piece])
-                made.append({"part": part, "shared": shared, "rest": rest, "left": [e[3] for e in piece], "k": [e[1] for e in piece], "a": [e[2] for e in piece]})
+                made.append({"part": part, "shared": shared, "rest": rest, "left": [e[4] for e in piece], "k": [e[1] for e in piece], "x": [e[2] for e in piece], "a": [e[3] for e in piece]})
             at = end
         return pa.RecordBatch.from_pylist(made, RUN_SCHEMA)
 
@@ -264,7 +265,7 @@ def _runs(rows: DataFrame, cuts: list[bytes], length: int) -> DataFrame:
                         if v & 1:
                             lo, more, offset = v >> 15, v >> 8 & 127, v >> 1 & 127
                             a = lo + offset
-                            entries.append((t[a : lo + more + length], r["k"], a, t[lo:a][::-1]))
+                            entries.append((t[a : lo + more + length], r["k"], r["x"], a, t[lo:a][::-1]))
                             held += more + length
                 if held > RUN_BYTES:
                     yield out(entries)
@@ -272,11 +273,11 @@ def _runs(rows: DataFrame, cuts: list[bytes], length: int) -> DataFrame:
         if entries:
             yield out(entries)
 
-    return rows.mapInArrow(run, "part int, shared array<int>, rest array<binary>, left array<binary>, k array<long>, a array<long>")
+    return rows.mapInArrow(run, "part int, shared array<int>, rest array<binary>, left array<binary>, k array<long>, x array<long>, a array<long>")
 
 
-def repeated_spans(runs: list[tuple[list[int], list[bytes]]], left: list[bytes], k: np.ndarray, a: np.ndarray, entry_of: list[list[int]], length: int) -> list[tuple[int, int, int]]:
-    """(k, first byte, end) covered, per context, by strings that start earlier in another; contexts numbered by `entry_of`."""
+def repeated_spans(runs: list[tuple[list[int], list[bytes]]], left: list[bytes], k: np.ndarray, x: np.ndarray, a: np.ndarray, entry_of: list[list[int]], length: int) -> list[tuple[int, int, int, int]]:
+    """(k, x, first byte, end) covered, per context, by strings that start earlier in another; contexts numbered by `entry_of`."""
     merged = merge_runs(runs)
     order = np.array([entry_of[r][i] for r, i, _, _ in merged])
     n = len(order)
@@ -288,8 +289,8 @@ def repeated_spans(runs: list[tuple[list[int], list[bytes]]], left: list[bytes],
     rank_left = np.empty(n, np.int64)
     rank_left[by_left] = np.arange(n)
     left_size = np.array([len(x) for x in lefts])
-    kk, aa = k[order], a[order]
-    age = np.lexsort((aa, kk))
+    kk, xx, aa = k[order], x[order], a[order]
+    age = np.lexsort((aa, xx, kk))
     rank_age = np.empty(n, np.int64)
     rank_age[age] = np.arange(n)
     low, high = np.full(n, length), np.full(n, -1)
@@ -300,48 +301,51 @@ def repeated_spans(runs: list[tuple[list[int], list[bytes]]], left: list[bytes],
         right_group = np.cumsum(shared < length - o)[has]
         left_group = np.cumsum(shared_left < o)[rank_left[has]]
         at = np.lexsort((rank_age[has], left_group, right_group))
-        x = has[at]
-        start = np.ones(len(x), bool)
+        these = has[at]
+        start = np.ones(len(these), bool)
         start[1:] = (right_group[at][1:] != right_group[at][:-1]) | (left_group[at][1:] != left_group[at][:-1])
-        head = x[np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))]
-        again = x[(kk[x] != kk[head]) | (aa[x] != aa[head])]
+        head = these[np.maximum.accumulate(np.where(start, np.arange(len(these)), 0))]
+        again = these[(kk[these] != kk[head]) | (xx[these] != xx[head]) | (aa[these] != aa[head])]
         low[again] = np.minimum(low[again], o)
         high[again] = o
     hit = np.flatnonzero(high >= 0)
-    return list(zip(kk[hit].tolist(), (aa[hit] - high[hit]).tolist(), (aa[hit] - low[hit] + length).tolist(), strict=True))
+    return list(zip(kk[hit].tolist(), xx[hit].tolist(), (aa[hit] - high[hit]).tolist(), (aa[hit] - low[hit] + length).tolist(), strict=True))
 
 
 def _merge(runs: DataFrame, length: int) -> DataFrame:
-    """(k, s, e): bytes of open contexts that repeat an earlier string."""
+    """(k, x, s, e): bytes of open contexts that repeat an earlier string."""
 
     def merge(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        left, k, a, entry_of = [], [], [], []
+        left, k, x, a, entry_of = [], [], [], [], []
         for r in rows:
             entry_of.append(list(range(len(k), len(k) + len(r["k"]))))
             left += r["left"]
             k += r["k"]
+            x += r["x"]
             a += r["a"]
-        spans = repeated_spans([(r["shared"], r["rest"]) for r in rows], left, np.array(k), np.array(a), entry_of, length)
-        columns = list(zip(*spans, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["k", "s", "e"])
+        spans = repeated_spans([(r["shared"], r["rest"]) for r in rows], left, np.array(k), np.array(x), np.array(a), entry_of, length)
+        columns = list(zip(*spans, strict=True)) or [[], [], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["k", "x", "s", "e"])
 
-    return runs.groupBy("part").applyInArrow(merge, "k long, s long, e long")
+    return runs.groupBy("part").applyInArrow(merge, "k long, x long, s long, e long")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of `docs`: key, n_bytes, kept (binary), removed (list of first byte and end).
 
     Keys are integers. Null texts are empty. Texts shorter than `length` lose nothing. Rows with a
-    null key are left whole and take nothing from others. Rows with equal keys count as the same
-    document, so equal places in them are not earlier than one another. Extra columns are not read.
+    null key are left whole and take nothing from others. Rows equal in key and text count as one
+    document and get equal results. Rows with equal keys and different texts are documents of their
+    own, in the order of a 64-bit hash of their texts. Extra columns are not read.
     """
     spark = docs.sparkSession
     d = columns_only(docs, key, text).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.select("k", F.xxhash64("t").alias("x"), "t")
     keyed = d.where("k is not null")
     settled = _settle(_anchors(keyed))
     packed = F.shiftleft("v", 1) + F.col("open").cast("long")
-    found = written(settled.select("k", packed.alias("v")).groupBy("k").agg(F.collect_list("v").alias("found")), "contexts")
+    found = written(settled.select("k", "x", packed.alias("v")).groupBy("k", "x").agg(F.collect_set("v").alias("found")), "contexts")
 
     # Ranges of suffixes: quantiles of the anchored suffixes of a few documents.
     n_docs = d.count()
@@ -359,9 +363,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     cuts = [grams[i * len(grams) // parts] for i in range(1, parts)] if grams else []
     cuts = sorted(set(cuts))
 
-    joined = d.join(found, "k", "left")
-    spans = _merge(_runs(joined.where("exists(found, v -> v % 2 = 1)").select("k", "t", "found"), cuts, length), length)
-    spans = spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = d.join(found, ["k", "x"], "left")
+    spans = _merge(_runs(joined.where("exists(found, v -> v % 2 = 1)").select("k", "x", "t", "found"), cuts, length), length)
+    spans = spans.groupBy("k", "x").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def cut_out(batches):
         for b in batches:
@@ -391,5 +395,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                      pa.array(removed, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], ["k", "n_bytes", "kept", "removed"],
                 )
 
-    out = joined.join(spans, "k", "left").select("k", "t", "found", "spans")
+    out = joined.join(spans, ["k", "x"], "left").select("k", "t", "found", "spans")
     return out.mapInArrow(cut_out, "k long, n_bytes long, kept binary, removed array<struct<first: long, end: long>>").withColumnRenamed("k", key)
