@@ -140,6 +140,27 @@ def test_ngram_join_null_and_repeated_keys(spark):
     assert [x.component_id for x in got if x.doc_id is None] == [None]
 
 
+def test_ngram_join_of_contradictory_keys(spark, texts):
+    """Rows with one key and different texts are nodes of their own that hang together; the order of the rows has no say."""
+    plain = jaccard_groups(texts)
+    twice = [(i, t) for i, t in enumerate(texts)] + [(40, texts[20]), (40, "one two three four five six"), (2, "one two three four five six"), (None, texts[30])]
+    parent = {i: c for i, (_, c) in plain.items()}
+
+    def merge(a, b):
+        a, b = parent[a], parent[b]
+        for i in parent:
+            if parent[i] == max(a, b):
+                parent[i] = min(a, b)
+
+    merge(40, 20)
+    merge(40, 2)
+    want = Counter((i, parent[i]) for i, _ in twice if i is not None)
+    for order in (twice, twice[::-1]):
+        got = ngram_join.join(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert Counter((x.doc_id, x.component_id) for x in got if x.doc_id is not None) == want
+        assert [x.component_id for x in got if x.doc_id is None] == [None]
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
@@ -285,6 +306,32 @@ def test_suffix_dedup(spark, texts, docs):
     assert got == want
 
 
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    """Equal rows are one document; rows of one id with different texts are apart; rows without id stay whole."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q, tail, long_text = word(300), word(300), word(150), word(9000)
+    rows = [
+        (1, p), (5, p), (5, q), (None, p), (None, None), (7, None), (7, "short"), (8, q + tail), (8, q + tail), (8, tail + p), (8, tail + word(40)),
+        (9, long_text), (10, long_text[4000:] + q), (10, long_text[:120]), (10, ""),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    crowded = frame.select("*", F.lit(1).alias("k"), F.lit(2).alias("x"), F.lit("t").alias("t"), F.lit(4).alias("found"))
+    number = {z.text: z.x for z in frame.where("text is not null").select("text", F.xxhash64("text").alias("x")).distinct().collect()}
+    seen, cut = set(), {}
+    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda z: (z[0], number.get(z[1], 0))):
+        b, gone = t.encode(), set()
+        for at in range(len(b) - 99):
+            if b[at : at + 100] in seen:
+                gone.update(range(at, at + 100))
+            seen.add(b[at : at + 100])
+        cut[i, t] = bytes(c for j, c in enumerate(b) if j not in gone)
+    want = Counter((i, len((t or "").encode()), cut.get((i, t or ""), (t or "").encode())) for i, t in rows)
+    got = Counter((z.doc_id, z.n_bytes, bytes(z.kept)) for z in suffix_dedup.dedup(crowded.repartition(5)).collect())
+    assert got == want
+    assert got[5, 300, q.encode()] == 1 and got[5, 300, b""] == 1 and got[None, 300, p.encode()] == 1
+
+
 def test_loser_tree_merges_front_coded_runs():
     r = random.Random(9)
     for n in (1, 2, 3, 7):
