@@ -9,6 +9,7 @@ from geodemand.config import (
     BRAND_WEIGHT, CAPTURE_RATE, DISPLACEMENT_CUT, DISTANCE_SENSITIVITY, FIT_WEIGHT, OVERLAP_CUT, PRICE_SENSITIVITY,
 )
 from geodemand.functions.scalars import clip, floored_ratio
+from geodemand.operators.pairs import close_pairs
 from geodemand.session import save_table
 
 
@@ -124,20 +125,14 @@ def item_overlap(items: DataFrame, cut: float = OVERLAP_CUT) -> DataFrame:
 
     items: sku_id, price, jobs, bands, sizes, crops, season (arrays). Only products that share
     a job can substitute, and a pair whose prices differ by too much cannot reach the cut, so
-    pairs are formed by job and price band: products farther apart than the cut allows never
-    meet.
+    pairs are formed by job and price band; a job of any size is dealt as a triangle of blocks.
     """
     import math
 
-    reach = -1.4 * math.log(cut)
-    it = items.withColumn("_lp", F.log("price")).withColumn("_band", F.floor(F.col("_lp") / reach).cast("bigint"))
-    left = it.select("*", F.explode("jobs").alias("_job"))
-    right = left.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
-    key = ["_job", "_band"]
-    cols = ["sku_id", "category", "price", "_lp", "jobs", "bands", "sizes", "crops", "season"]
-    a = left.select(*key, *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = right.select(*key, *[F.col(c).alias(f"{c}_b") for c in cols])
-    p = a.join(b, key).where((F.col("sku_id_a") < F.col("sku_id_b")) & (F.abs(F.col("_lp_a") - F.col("_lp_b")) <= reach * (1 + 1e-9)))
+    reach = -1.4 * math.log(cut) * (1 + 1e-9)
+    cols = ["sku_id", "category", "price", "_lp", "jobs", "bands", "sizes", "crops", "season", "_job"]
+    it = items.withColumn("_lp", F.log("price")).withColumn("_job", F.explode("jobs")).select(*cols)
+    p = close_pairs(it, "_job", "_lp", reach, "sku_id").withColumnRenamed("_job_a", "_job")
     # A pair that shares several jobs is met once per job; the first shared job speaks for it.
     shared = F.array_sort(F.array_intersect("jobs_a", "jobs_b"))
     p = p.where(F.col("_job") == shared[0])

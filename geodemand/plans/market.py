@@ -10,6 +10,7 @@ from geodemand.operators import choice as H
 from geodemand.operators import indices as I
 from geodemand.operators import scenario as X
 from geodemand.operators.levels import children
+from geodemand.operators.pairs import close_pairs
 from geodemand.plans import levels as LV
 from geodemand.plans import place_role as PR
 from geodemand.plans import scoring as SC
@@ -304,15 +305,9 @@ def item_overlap(spark, sf):
     needs=("product",),
 )
 def theta_pairs(spark, sf):
-    """Pairs of a category whose prices lie within 2 of each other, met by price band."""
-    p = roles.products(spark, sf).withColumn("band", F.floor(F.col("price") / 2).cast("bigint"))
-    a = p.select("category", "band", F.col("sku_id").alias("sku_a"), F.col("price").alias("pa"))
-    b = p.select(
-        "category", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-        F.col("sku_id").alias("sku_b"), F.col("price").alias("pb"),
-    )
-    j = a.join(b, ["category", "band"]).where((F.col("sku_a") < F.col("sku_b")) & (F.abs(F.col("pa") - F.col("pb")) <= 2))
-    return j.select("sku_a", "sku_b", F.round(F.col("pa") - F.col("pb"), 4).alias("price_gap"))
+    """Pairs of a category whose prices lie within 2 of each other, met by price band and block."""
+    p = close_pairs(roles.products(spark, sf).select("category", "sku_id", "price"), "category", "price", 2, "sku_id")
+    return p.select(F.col("sku_id_a").alias("sku_a"), F.col("sku_id_b").alias("sku_b"), F.round(F.col("price_a") - F.col("price_b"), 4).alias("price_gap"))
 
 
 @query(
