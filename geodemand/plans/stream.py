@@ -11,7 +11,7 @@ from geodemand.streaming import events as E
     """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""",
 )
 def stream_event_rollup(spark, sf):
-    r = E.run_once(E.daily_rollup(E.read_events(spark, sf)), "rollup")
+    r = E.run_once(E.read_events(spark, sf), E.daily_rollup(), "rollup")
     return r.withColumn("value", F.round("value", 4))
 
 
@@ -22,4 +22,4 @@ def stream_event_rollup(spark, sf):
        SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 12 HOURS AS expired, count(*) AS n FROM s GROUP BY user_id, no""",
 )
 def stream_idle_sessions(spark, sf):
-    return E.run_once(E.idle_sessions(E.read_events(spark, sf)), "idle")
+    return E.run_once(E.read_events(spark, sf), E.idle_sessions(), "idle")
