@@ -421,6 +421,48 @@ def scenario_shock_state(spark, sf):
     return _shock_out(X.shock(SC.scores(spark, sf), SC.betas(spark, sf), SHOCKS, "district_id", d, "state_id"), "state_id")
 
 
+_MIXED = """ round(sum(units_base), 5) AS units_base, round(sum(units_scenario), 5) AS units_scenario,
+       round((sum(units_scenario) / sum(units_base) - 1) * 100, 5) AS delta_pct, round((sum(units_lo) / sum(units_base) - 1) * 100, 5) AS delta_pct_lo,
+       round((sum(units_hi) / sum(units_base) - 1) * 100, 4) AS delta_pct_hi, round(sum(value_scenario), 2) AS value_scenario FROM g GROUP BY 1"""
+
+
+def _mixed_sql(where: str, level: str) -> str:
+    """Every scored row by its new weight and its district's slopes, in one product."""
+    return (
+        ", nw AS (SELECT sku_id, " + ", ".join(f"{v} / ({_POS}) AS n_{f}" for f, v in _NW.items()) + " FROM weight_wide),"
+        + " r AS (SELECT s.district_id, n_regionkey AS state_id, s.potential_units_yr AS u, s.potential_value AS v, "
+        + " + ".join(f"fa.{f} / 100 * s.w_{f}" for f in C.FACTORS) + " AS old, " + " + ".join(f"fa.{f} / 100 * n_{f}" for f in C.FACTORS)
+        + f""" AS new FROM score s JOIN factor fa USING (place_id) JOIN nw USING (sku_id) JOIN nation ON n_nationkey = s.district_id WHERE {where}),
+       e AS (SELECT district_id, sum(beta * CASE regressor WHEN 'x2' THEN -1.5e0 ELSE 0.5e0 END) AS dlog,
+         sqrt(sum(pow(se * CASE regressor WHEN 'x2' THEN -1.5e0 ELSE 0.5e0 END, 2))) AS sd FROM betas WHERE regressor IN ('x2', 'x3') GROUP BY 1),
+       m AS (SELECT *, CASE WHEN old > 1e-9 THEN new / old ELSE 1 END * exp(dlog) AS k FROM r JOIN e USING (district_id)),
+       g AS (SELECT district_id, state_id, u AS units_base, u * k AS units_scenario, v * k AS value_scenario, u * k * exp(-1.645e0 * sd) AS units_lo,
+         u * k * exp(1.645e0 * sd) AS units_hi FROM m) SELECT {level},"""
+        + _MIXED
+    )
+
+
+def _mixed(spark, sf, key, scope=None, within=None):
+    d = roles.districts(spark, sf).select("district_id", "state_id")
+    r = X.combined(
+        SC.scores(spark, sf), SC.factors(spark, sf), I.weights_wide(SC.weights(spark, sf)), SC.betas(spark, sf), d, "district_id", NEW, SHOCKS, scope, within, key
+    )
+    return r.select(key, *[F.round(c, n).alias(c) for c, n in (
+        ("units_base", 5), ("units_scenario", 5), ("delta_pct", 5), ("delta_pct_lo", 5), ("delta_pct_hi", 4), ("value_scenario", 2))])
+
+
+@query("scenario_combined", _mixed_sql("s.category = (SELECT min(category) FROM product) AND n_regionkey = 2", "district_id"), needs=("score", "factor", "weight_wide", "betas", "product"))
+def scenario_combined(spark, sf):
+    """Weights and shocks at once, in one category and one state."""
+    first = roles.products(spark, sf).agg(F.min("category")).first()[0]
+    return _mixed(spark, sf, "district_id", F.col("category") == first, F.col("state_id") == 2)
+
+
+@query("scenario_combined_state", _mixed_sql("true", "state_id"), needs=("score", "factor", "weight_wide", "betas"))
+def scenario_combined_state(spark, sf):
+    return _mixed(spark, sf, "state_id")
+
+
 @query(
     "scenario_rival_move",
     """, r AS (SELECT max(closest_rival) AS rival FROM contest), k AS (SELECT min(reach) AS reach FROM offer, r WHERE player = rival),
