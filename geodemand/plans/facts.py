@@ -8,8 +8,9 @@ from geodemand import config as C
 from geodemand.functions.scalars import steady_round
 from geodemand.operators import indices as I
 from geodemand.operators import panel as P
+from geodemand.operators.segments import segment_cards
 from geodemand.plans import scoring as SC
-from geodemand.plans.insight import base_insights
+from geodemand.plans.insight import base_insights, insights
 from geodemand.plans.panel_plan import simple_parts
 from geodemand.plans.registry import query
 from geodemand.sources import roles
@@ -101,6 +102,64 @@ def fact_pack_scenario(spark, sf):
     )
 
 
+@query(
+    "fact_pack_place",
+    """, t AS (SELECT place_id, string_agg(CAST(sku_id AS VARCHAR), ', ' ORDER BY rn) AS best_products, round(sum(u), 5) AS best_units,
+           round(max(penetration) FILTER (rn = 1), 5) AS best_owned, min(CAST(sku_id AS VARCHAR)) FILTER (rn = 1) AS first
+         FROM (SELECT place_id, sku_id, potential_units_yr AS u, penetration,
+                 row_number() OVER (PARTITION BY place_id ORDER BY round(potential_units_yr, 9) DESC, sku_id) AS rn FROM score) WHERE rn <= 4 GROUP BY 1)
+       SELECT i.place_id, place, district, archetype, micro_id, action_segment, rank_in_district, places_in_district, round(potential_units_yr, 4) AS units,
+         round(headroom, 4) AS unserved, round(attach_rate, 5) AS attach_rate, round(peer_attach_micro, 5) AS peer_attach, round(dealer_distance_km, 4) AS km,
+         best_products, best_units, best_owned,
+         place || ' stands at ' || rank_in_district || ' among ' || places_in_district || ' in ' || district || ' and wants ' || first || ' most.' AS txt
+       FROM insight i JOIN t USING (place_id)""",
+    needs=("insight", "score"),
+)
+def fact_pack_place(spark, sf):
+    """What is known of each place, with its four best products."""
+    line = F.struct((-F.round("potential_units_yr", 9)).alias("k"), "sku_id", F.col("potential_units_yr").alias("u"), "penetration")
+    t = SC.scores(spark, sf).groupBy("place_id").agg(F.slice(F.array_sort(F.collect_list(line)), 1, 4).alias("best"))  # as long as the catalogue
+    names = F.transform("best", lambda x: x["sku_id"].cast("string"))
+    i = insights(spark, sf).join(t, "place_id")
+    text = F.concat(
+        "place", F.lit(" stands at "), F.col("rank_in_district").cast("string"), F.lit(" among "), F.col("places_in_district").cast("string"), F.lit(" in "),
+        "district", F.lit(" and wants "), names[0], F.lit(" most."),
+    )
+    return i.select(
+        "place_id", "place", "district", "archetype", "micro_id", "action_segment", "rank_in_district", "places_in_district",
+        F.round("potential_units_yr", 4).alias("units"), F.round("headroom", 4).alias("unserved"), F.round("attach_rate", 5).alias("attach_rate"),
+        F.round("peer_attach_micro", 5).alias("peer_attach"), F.round("dealer_distance_km", 4).alias("km"), F.array_join(names, ", ").alias("best_products"),
+        F.round(F.aggregate("best", F.lit(0.0), lambda z, x: z + x["u"]), 5).alias("best_units"), F.round(F.col("best")[0]["penetration"], 5).alias("best_owned"),
+        text.alias("txt"),
+    )
+
+
+@query(
+    "fact_pack_clusters",
+    """, c AS (SELECT micro_id, count(*) AS n, avg(opportunity_score) AS o, avg(dealer_distance_km) AS km FROM ins3 GROUP BY 1),
+       m AS (SELECT micro_id, action_segment FROM ins3 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY micro_id ORDER BY count(*) DESC, action_segment) = 1),
+       p AS (SELECT * FROM c JOIN m USING (micro_id) ORDER BY round(o, 4) DESC, micro_id LIMIT 6)
+       SELECT 'type' AS kind, archetype AS name, count(*) AS places, round(sum(potential_units_yr), 3) AS amount, round(avg(attach_rate), 4) AS detail, NULL AS note FROM ins3 GROUP BY 2
+       UNION ALL SELECT 'action', action_segment, count(*), round(sum(headroom), 3), NULL, NULL FROM ins3 GROUP BY 2
+       UNION ALL SELECT 'pocket', micro_id, n, round(o, 4), round(km, 4), action_segment FROM p""",
+    needs=("ins3",),
+)
+def fact_pack_clusters(spark, sf):
+    """Types by demand, actions by unserved need, and the six best pockets with what they call for."""
+    i = base_insights(spark, sf)
+    columns = lambda kind, name, amount, detail, note: (F.lit(kind).alias("kind"), F.col(name).alias("name"), "places", amount.alias("amount"), detail.alias("detail"), note.alias("note"))
+    none, count = F.lit(None), F.count(F.lit(1)).alias("places")
+    types = i.groupBy("archetype").agg(count, F.sum("potential_units_yr").alias("u"), F.avg("attach_rate").alias("a"))
+    acts = i.groupBy("action_segment").agg(count, F.sum("headroom").alias("h"))
+    cards = segment_cards(i, "micro_id").withColumn("o", F.round("avg_opportunity", 4)).withColumnRenamed("n_places", "places")
+    cards = cards.orderBy(F.desc("o"), "micro_id").limit(6)
+    return (
+        types.select(*columns("type", "archetype", F.round("u", 3), F.round("a", 4), none.cast("string")))
+        .unionByName(acts.select(*columns("action", "action_segment", F.round("h", 3), none.cast("double"), none.cast("string"))))
+        .unionByName(cards.select(*columns("pocket", "micro_id", F.col("o"), F.round("dealer_km", 4), F.col("dominant_action"))))
+    )
+
+
 @query(
     "block_points",
     """SELECT i.place_id AS id, place AS name, round(lon, 6) AS lon, round(lat, 6) AS lat, action_segment, archetype, top_sku, round(opportunity_score, 4) AS opportunity,
