@@ -79,23 +79,31 @@ def player_shares(shares: DataFrame, group: str) -> DataFrame:
     return e.groupBy(group, "category", F.col("s.player").alias("player")).agg(F.avg("s.share").alias("share"))
 
 
-def grade_contests(scores: DataFrame, land: DataFrame, own: str) -> DataFrame:
-    """Own and rival units of each scored row, how close the contest is, what can be won or lost."""
-    s = scores.withColumnRenamed("potential_units_yr", "market_units").join(land, ["place_id", "category"])
-    s = s.withColumn("own_units", F.col("market_units") * F.col("own_share"))
-    s = s.withColumn("competitor_units", F.col("market_units") - F.col("own_units"))
-    norm = save_table(s.groupBy("category").agg(F.avg("own_share").alias("_norm")), "norm")
-    s = s.join(norm, "category").withColumn("share_index", floored_ratio("own_share", "_norm") * 100).drop("_norm")
-    s = s.withColumn("closeness", floored_ratio(F.col("own_share"), F.col("own_share") + F.col("rival_share")))
+def graded_lands(land: DataFrame, own: str) -> DataFrame:
+    """The landscape with how close the contest is and what part of the units can be won or lost, the same for all products."""
+    s = land.withColumn("closeness", floored_ratio(F.col("own_share"), F.col("own_share") + F.col("rival_share")))
     c = F.col("closeness")
     status = (
         F.when(F.col("leader") == own, "Leading").when(c >= 0.42, "Winnable").when(c >= 0.28, "Stretch").otherwise("Out of reach")
     )
-    win = F.col("competitor_units") * F.pow(clip((c - 0.25) / 0.35, 0, 1), F.lit(1.5)) * 0.30
-    lose = F.col("own_units") * F.pow(clip(1 - c, 0, 1), F.lit(1.2)) * 0.40
-    return s.withColumns(
-        {"status": status, "winnable_units": win, "at_risk_units": F.least(lose, F.col("own_units"))}
-    )
+    return s.withColumns({
+        "status": status, "win_part": F.pow(clip((c - 0.25) / 0.35, 0, 1), F.lit(1.5)), "loss_part": F.pow(clip(1 - c, 0, 1), F.lit(1.2)),
+    })
+
+
+def grade_contests(scores: DataFrame, norm: DataFrame) -> DataFrame:
+    """Own and rival units of each scored row and what can be won or lost of them.
+
+    `scores` carries the graded landscape of its place and category; `norm` has the mean own share of a category's
+    rows (category, _norm), a small stored table, so the scored rows stay where they are.
+    """
+    s = scores.withColumnRenamed("potential_units_yr", "market_units")
+    s = s.withColumn("own_units", F.col("market_units") * F.col("own_share"))
+    s = s.withColumn("competitor_units", F.col("market_units") - F.col("own_units"))
+    s = s.join(norm, "category").withColumn("share_index", floored_ratio("own_share", "_norm") * 100).drop("_norm")
+    win = F.col("competitor_units") * F.col("win_part") * 0.30
+    lose = F.col("own_units") * F.col("loss_part") * 0.40
+    return s.withColumns({"winnable_units": win, "at_risk_units": F.least(lose, F.col("own_units"))}).drop("win_part", "loss_part")
 
 
 def market_sums(contests: DataFrame, by: list[str]) -> DataFrame:

@@ -137,7 +137,7 @@ def levels_unreconciled(spark, sf):
     needs=("star",),
 )
 def top_item_of_districts_by_sum(spark, sf):
-    d = children(LV.items(spark, sf), "district")
+    d = children(LV.items_above(spark, sf), "district")
     best = top_item_by_sum(d, "units", ITEM)
     t = best.join(d, (best["id"] == d["id"]) & (best["top_sku_id"] == d["sku_id"]))
     return t.select(best["id"].cast("int").alias("district_id"), "top_sku_id", "top_category", r2("units").alias("units"))
@@ -152,7 +152,7 @@ def top_item_of_districts_by_sum(spark, sf):
     needs=("star",),
 )
 def level_item_rollup(spark, sf):
-    return children(LV.items(spark, sf), "district").select(
+    return children(LV.items_above(spark, sf), "district").select(
         "district_id",
         "sku_id",
         "category",
@@ -173,7 +173,7 @@ def level_item_rollup(spark, sf):
     needs=("star", "product"),
 )
 def sku_rank_in_node(spark, sf):
-    g = LV.items(spark, sf).where(equals_all({"level": "district", "id": "7", "category": "PROMO"}))
+    g = LV.items_above(spark, sf).where(equals_all({"level": "district", "id": "7", "category": "PROMO"}))
     g = g.select("sku_id", F.col("player").alias("name"), "category", *SUMS, (F.col("ratio_sum") / F.col("n_rows")).alias("propensity"))
     p = roles.products(spark, sf).select("sku_id", F.round("price", 4).alias("price"))
     return (
@@ -191,7 +191,7 @@ def sku_rank_in_node(spark, sf):
     needs=("star",),
 )
 def top_products_scoped(spark, sf):
-    g = LV.items(spark, sf).where(equals_all({"level": "state", "id": "2", "category": None}))
+    g = LV.items_above(spark, sf).where(equals_all({"level": "state", "id": "2", "category": None}))
     return g.select("sku_id", "category", *_amounts()).orderBy(F.desc("units_per_year"), "sku_id").limit(10)
 
 
@@ -285,7 +285,7 @@ def share_of_total_top5(spark, sf):
     needs=("star", "product"),
 )
 def segment_over_index(spark, sf):
-    blocks = children(LV.items(spark, sf), "block")
+    blocks = children(LV.items_above(spark, sf), "block")
     t = R.over_index(blocks, F.substring_index("id", ":", -1) == "BUILDING", "sku_id", "units")
     p = roles.products(spark, sf).select("sku_id", F.col("player").alias("name"), "category")
     return (
@@ -445,7 +445,7 @@ def gini_by_nation(spark, sf):
     needs=("fact",),
 )
 def hhi_by_type(spark, sf):
-    s = children(LV.items(spark, sf), "state").groupBy("category", "player").agg(F.sum("units").alias("u"))
+    s = children(LV.items_above(spark, sf), "state").groupBy("category", "player").agg(F.sum("units").alias("u"))
     g = s.groupBy("category").agg((F.sum(F.col("u") * F.col("u")) / F.pow(F.sum("u"), F.lit(2.0))).alias("hhi"))
     return g.select("category", F.round("hhi", 8).alias("hhi"))
 
@@ -514,7 +514,7 @@ def unpivot_metrics(spark, sf):
     needs=("star",),
 )
 def pivot_category_units(spark, sf):
-    g = children(LV.items(spark, sf), "district").groupBy("district_id").pivot("category", ["ECONOMY", "LARGE", "PROMO"]).agg(F.sum("units"))
+    g = children(LV.items_above(spark, sf), "district").groupBy("district_id").pivot("category", ["ECONOMY", "LARGE", "PROMO"]).agg(F.sum("units"))
     return g.select("district_id", *[r2(c).alias(c.lower()) for c in ("ECONOMY", "LARGE", "PROMO")])
 
 
@@ -524,7 +524,7 @@ def pivot_category_units(spark, sf):
     needs=("fact",),
 )
 def having_filter(spark, sf):
-    g = children(LV.items(spark, sf), "state").groupBy("sku_id").agg(F.sum("owned").alias("owned"))
+    g = children(LV.items_above(spark, sf), "state").groupBy("sku_id").agg(F.sum("owned").alias("owned"))
     return g.where(F.col("owned") >= 1500).select("sku_id", r2("owned").alias("owned"))
 
 
@@ -614,7 +614,7 @@ def season_index_query(spark, sf):
     needs=("star", "season"),
 )
 def season_scaled_drill(spark, sf):
-    nodes, items = (children(t, "district") for t in (LV.nodes(spark, sf), LV.items(spark, sf)))
+    nodes, items = (children(t, "district") for t in (LV.nodes(spark, sf), LV.items_above(spark, sf)))
     nodes = nodes.withColumn("attach_gap", floored_ratio("headroom", "units"))
     k = R.season_factor(seasons(spark, sf), 10, category="ECONOMY")
     out = R.rescoped(nodes, items, "district_id", {"sku_id": None, "category": "ECONOMY"}, k)

@@ -53,7 +53,7 @@ cte(
 
 
 def offers(spark, sf):
-    f = children(LV.items(spark, sf), "state")
+    f = children(LV.items_above(spark, sf), "state")
     by_state = f.groupBy("state_id", "player").agg(F.sum("units").alias("u"))
     state = by_state.groupBy("state_id").agg(F.sum("u").alias("s"))
     player = by_state.groupBy("player").agg(F.sum("u").alias("n"))
@@ -81,16 +81,28 @@ def shares(spark, sf):
         p = PR.features(spark, sf).select("place_id", "district_id", "state_id", "dealer_distance_km")
         return H.choice_shares(spread(p, "place_id"), offers(spark, sf), "dealer_distance_km").drop("dealer_distance_km")
 
-    return stage(spark, "shares", roles.paths(sf, *PR.INPUTS), build)
+    return stage(spark, "shares", roles.paths(sf, *PR.INPUTS), build, bucket_by="place_id")
 
 
-def contests(spark, sf):
-    def build():
-        land = H.landscape(shares(spark, sf), OWN).drop("district_id")
-        s = SC.scores(spark, sf).select("place_id", "district_id", "sku_id", "category", "potential_units_yr", "potential_value")
-        return H.grade_contests(s, land, OWN)
+def _lands(spark, sf):
+    """The graded landscape of each place and category."""
+    build = lambda: H.graded_lands(H.landscape(shares(spark, sf), OWN).drop("district_id", "state_id"), OWN)
+    return stage(spark, "lands", roles.paths(sf, *PR.INPUTS), build, bucket_by="place_id")
+
+
+_LAND = ["own_share", "leader", "leader_share", "closest_rival", "rival_share", "share_gap", "hhi", "closeness", "status", "win_part", "loss_part"]
 
-    return stage(spark, "contests", roles.paths(sf, *PR.INPUTS), build)
+
+def _met(spark, sf):
+    """Scored rows with the landscape of their place and category, which meets the place before the products do."""
+    s = SC.scores(spark, sf, SC.scored_places(spark, sf).join(_lands(spark, sf), "place_id"), _LAND)
+    return s.select("place_id", "district_id", "sku_id", "category", "potential_units_yr", "potential_value", *_LAND)
+
+
+def contests(spark, sf):
+    """Graded scored rows, worked out anew by each question from what is stored per place."""
+    build = lambda: _met(spark, sf).groupBy("category").agg(F.avg("own_share").alias("_norm"))
+    return H.grade_contests(_met(spark, sf), stage(spark, "share_norm", roles.paths(sf, *PR.INPUTS), build))
 
 
 @query(
@@ -269,7 +281,7 @@ def items(spark, sf):
     p = roles.products(spark, sf).withColumn("_lo", lo)
     bands = I.band_overlap(F.col("_lo"), F.col("_lo") + 20, C.POWER_BANDS, F.col("category").isin(*C.SELF_PROPELLED))
     regions = [r[0] for r in roles.states(spark, sf).select("state_id").orderBy("state_id").collect()]  # as many as the profile is long
-    sold = children(LV.items(spark, sf), "state").groupBy("sku_id").agg(
+    sold = children(LV.items_above(spark, sf), "state").groupBy("sku_id").agg(
         F.array(*[F.sum(F.when(F.col("state_id") == i, F.col("units")).otherwise(0.0)) for i in regions]).alias("crops")
     )
     season = F.create_map(*[

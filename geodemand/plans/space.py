@@ -200,7 +200,7 @@ def place_features(spark, sf):
 def node_geometry_values(spark, sf):
     from geodemand.operators.rollup import top_item
 
-    promo = children(LV.items(spark, sf), "district").where(F.col("category") == "PROMO")
+    promo = children(LV.items_above(spark, sf), "district").where(F.col("category") == "PROMO")
     g = promo.groupBy(F.col("district_id").alias("cell_id")).agg(
         F.sum("units").alias("units"), F.sum("headroom").alias("headroom"), top_item(["sku_id"], "largest").alias("t")
     )
