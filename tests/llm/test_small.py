@@ -161,6 +161,17 @@ def test_ngram_join_of_contradictory_keys(spark, texts):
         assert [x.component_id for x in got if x.doc_id is None] == [None]
 
 
+def test_ngram_join_pairs_fall_in_the_cell():
+    """Of two sets in a cell no pair leaves it that their sizes, or what is left behind the shared shingle, rule out."""
+    at = lambda s, *rows: np.array([(s, k, n << 32 | i) for k, n, i in rows])
+    told = lambda rows, pivots: [(k, p, whole) for _, k, p, _, whole in ngram_join._meet(rows, 0, pivots, 75).tolist()]
+    assert told(at(1, (1, 100, 0), (2, 100, 14)), 1) == [(2, 1, 1)]
+    assert told(at(1, (1, 100, 0), (2, 100, 15)), 1) == told(at(1, (1, 100, 0), (2, 74, 0)), 1) == []
+    large = at(1, (1, 100, 0), (2, 100, 20), (3, 30, 0))
+    assert sorted(told(large, 1)) == [(2, -1, 0), (2, 1, 0), (3, -1, 0)]
+    assert told(large, 2) == []
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
