@@ -226,6 +226,43 @@ def test_image_descriptors_meet_up_to_three_bits_and_at_full_width(spark):
     assert found == {k: k // 2 * 2 for k in range(20)}
 
 
+def test_image_copies_are_found_in_crowded_cells(spark):
+    """Groups as of all pairs, though every piece of a picture stands in many unrelated pictures."""
+    rng = np.random.default_rng(8)
+    pool = [rng.integers(0, 255, (24, 24)).astype(np.uint8) for _ in range(60)]
+    pictures = []
+    for _ in range(60):
+        pictures.append(np.block([[pool[rng.integers(60)] for _ in range(4)] for _ in range(3)]))
+    for i in range(0, 60, 4):  # half of another picture, far from it
+        other = np.block([[pool[rng.integers(60)] for _ in range(4)] for _ in range(3)])
+        other[:, 48:] = pictures[i][:, 48:]
+        pictures.append(other)
+    pictures += [pictures[7], pictures[20].copy()]
+    described = [media.features(p) for p in pictures]
+
+    def linked(i, j):
+        if np.array_equal(pictures[i], pictures[j]):
+            return True
+        votes = Counter()
+        same = (described[i][1][:, None] == described[j][1]).sum(2)
+        for a, b in np.argwhere(same):
+            (s, x, y), (t, u, v) = described[i][0][a].tolist(), described[j][0][b].tolist()
+            dx, dy = x - round(u * 2.0 ** (s - t)), y - round(v * 2.0 ** (s - t))
+            for h in (0, media.BIN // 2):
+                votes[s - t, h, (dx + h) // media.BIN, (dy + h) // media.BIN] += same[a, b]
+        return max(votes.values(), default=0) >= media.VOTES * media.TABLES
+
+    group = list(range(len(pictures)))
+    for i in range(len(pictures)):
+        for j in range(i):
+            if group[i] != group[j] and linked(i, j):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    frame = spark.createDataFrame([(i, 96, p.tobytes()) for i, p in enumerate(pictures)], "id long, width int, pixels binary")
+    assert 20 < len(set(group)) < len(pictures) - 5
+    assert {x.id: x.group_id for x in media.copies(frame, "id").collect()} == dict(enumerate(group))
+    assert {x.id: x.group_id for x in media.copies(frame, "id", block=2000).collect()} == dict(enumerate(group))
+
+
 def test_toxicity(spark, sf):
     texts = {r.doc_id: r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()}
     labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
