@@ -98,3 +98,45 @@ def test_finder_refuses_a_limit_it_cannot_keep(spark):
 
     with pytest.raises(ValueError):
         find(spark.range(1), {}, limit=5000)
+
+
+def test_ranks_of_many_metrics_and_scopes(spark):
+    """Ties, null and NaN values, rows without a scope and repeated keys, in both scopes."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    t = pd.DataFrame({
+        "id": np.r_[np.arange(n - 5), np.arange(5)], "g": rng.choice(["a", "b", "c", None], n),
+        "u": np.where(rng.random(n) < 0.4, 0.0, rng.normal(0, 1, n)), "v": rng.integers(0, 3, n) * -1.0, "w": np.full(n, np.nan),
+    })
+    t.loc[::50, "u"] = np.nan
+    df = spark.createDataFrame(t).withColumn("row", F.monotonically_increasing_id()).withColumn("u", F.when(F.col("id") % 100 != 0, F.col("u")))
+    back = df.toPandas()
+    got = RK.pct_ranks(df, "row", ["u", "v", "w"], {"all": None, "inside": "g"}).toPandas().set_index(["metric", "scope", "row"])["pct"]
+    assert len(got) == 6 * n and got.index.is_unique
+    for m in ("u", "v", "w"):
+        s = back.set_index("row")[m]
+        np.testing.assert_array_equal(got[m, "all"][s.index].to_numpy(float), (s.rank(pct=False) / s.count() * 100).to_numpy(float))
+        by = back.set_index("row").groupby("g")[m]
+        want = (by.rank() / by.transform("count") * 100).reindex(s.index)
+        np.testing.assert_allclose(got[m, "inside"][s.index].to_numpy(float), want.to_numpy(float), rtol=0, atol=1e-12)
+
+
+def test_cells_of_ranks_move_once_and_those_of_a_hot_value_not_at_all(spark, tmp_path):
+    df = spark.range(20_000).select("id", (F.col("id") % 4).alias("g"), F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        r = RK.scope_ranks(df, "id", ["v"], {"all": None, "state": "g"})
+        plan = r._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("hashpartitioning(_m") == 1 and plan.count("SortMergeJoin") == 0
+    assert r.where("id % 2 = 0").agg(F.countDistinct("pct_all")).first()[0] == 1
+
+
+def test_place_without_any_value_keeps_its_row(spark):
+    from geodemand.operators import indices as I
+
+    f = spark.createDataFrame([(1, 1, 2.0, 5.0), (2, 1, 3.0, None), (3, None, 4.0, 5.0), (4, 2, None, None)], "id long, s int, a double, b double")
+    got = {r.id: r for r in I.factor_index(f, "id", "s", {"F": [("a", 0.75, "positive"), ("b", 0.25, "negative")]}).collect()}
+    assert got[4].F is None and got[4].F_state is None and got[3].F_state is None
+    assert got[1].F == pytest.approx(0.75 * 100 / 3 + 0.25 * 25) and got[2].F_state == pytest.approx(75.0)
