@@ -561,3 +561,36 @@ def test_registered_queries_and_sql(spark):
         if name in LLM_SQL:
             theirs = con.execute(LLM_SQL[name]).fetchdf()
             assert sorted(map(str, mine[sorted(mine)].itertuples(index=False))) == sorted(map(str, theirs[sorted(theirs)].itertuples(index=False)))
+
+
+@pytest.mark.parametrize("gathered", [0, 1 << 20])
+def test_components_of_chains_stars_and_repeated_links(spark, monkeypatch, gathered):
+    from geodemand.llm import components as C
+
+    r = random.Random(7)
+    names = r.sample(range(-(10**12), 10**12), 300)
+    links = list(zip(names[:80], names[1:81])) + [(names[100], x) for x in names[101:140]]
+    links += [(r.choice(names[150:]), r.choice(names[150:])) for _ in range(120)] + links[:30] + [(names[5], names[5]), (None, names[3]), (names[299], names[299])]
+    group = {n: n for a, b in links if a != b and a is not None for n in (a, b)}
+    for _ in group:
+        for a, b in links:
+            if a in group and b in group:
+                group[a] = group[b] = min(group[a], group[b])
+    monkeypatch.setattr(C, "GATHERED", gathered)
+    found = C.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert len(found) == len(group) and {x.node: x.component for x in found} == group
+    assert C.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """A chain took a dozen jobs of joins, each with as many tasks as there are partitions."""
+    from geodemand.llm.components import components
+
+    tracker, jobs = spark.sparkContext.statusTracker(), set()
+    spark.sparkContext.setJobGroup("few-links", "components")
+    try:
+        assert components(spark.range(200).selectExpr("id AS a", "id + 1 AS b"), "a", "b").agg(F.max("component")).first()[0] == 0
+        jobs = tracker.getJobIdsForGroup("few-links")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 6
