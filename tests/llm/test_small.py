@@ -594,3 +594,32 @@ def test_few_links_take_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 6
+
+
+def test_image_features_are_not_moved_again_for_every_block(spark):
+    """Every two blocks meet, but what is shuffled does not grow with their number; rows of a stream are held a block at a time."""
+    import pyarrow as pa
+
+    rows = pa.record_batch([pa.array([3, 3, 9, 1, 1, 1])], ["n"])
+    held = lambda block: [t.column("n").to_pylist() for t in media._held([rows.slice(0, 2), rows.slice(2)], block)]
+    assert held(1000) == [[3, 3, 9, 1, 1, 1]] and held(media.TABLES * 6) == [[3, 3], [9], [1, 1, 1]]
+    assert held(media.TABLES * 4) == [[3], [3], [9], [1, 1, 1]] and held(1) == [[3], [3], [9], [1], [1], [1]]
+    r = random.Random(3)
+    pictures = [media.render("\n".join("".join(chr(r.randint(33, 120)) for _ in range(90)) for _ in range(10))) for _ in range(12)]
+    frame = spark.createDataFrame([(i % 9, 96, bytes(p.tobytes())) for i, p in enumerate(pictures + pictures[:4])], "id long, width int, pixels binary")
+    seen, cross = [], media._cross_links
+
+    def watched(rows, blocks, block):
+        found = cross(rows, blocks, block)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        seen.append((blocks, "Bucketed: true" in plan))
+        return found
+
+    media._cross_links = watched
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else labels as few as these are broadcast, and nothing is asked of the storage
+    try:
+        whole, cut = (sorted(tuple(x)[:3] for x in media.copies(frame, "id", block=b).collect()) for b in (media.BLOCK, 100))
+    finally:
+        media._cross_links = cross
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert whole == cut and seen[0][0] == 1 and seen[1][0] > media.SENT and all(stays for _, stays in seen)
