@@ -140,3 +140,34 @@ def test_place_without_any_value_keeps_its_row(spark):
     got = {r.id: r for r in I.factor_index(f, "id", "s", {"F": [("a", 0.75, "positive"), ("b", 0.25, "negative")]}).collect()}
     assert got[4].F is None and got[4].F_state is None and got[3].F_state is None
     assert got[1].F == pytest.approx(0.75 * 100 / 3 + 0.25 * 25) and got[2].F_state == pytest.approx(75.0)
+
+
+def test_ranked_rows_move_once(spark, skewed):
+    """Ties, null and infinite values, rows without a group and repeated keys; one move of the rows, and no table as long as they are."""
+    t = pd.concat([skewed, skewed.head(300)], ignore_index=True)
+    t["g"] = t["g"].where(t.index % 17 != 0, None)
+    t.loc[::41, "v"] = np.inf
+    t.loc[::43, "v"] = -np.inf
+    t.loc[::47, "v"] = -0.0
+    t.loc[::9, "v"] = np.nan
+    t["row"] = np.arange(len(t))
+    df = nulls(spark.createDataFrame(t))
+    got = RK.ranked(df, "v", ["g"], "id", r=RK.average_rank(), n=F.col(RK.N_GROUP), t=F.col(RK.N_TIES)).toPandas().set_index("row").sort_index()
+    t = t.set_index("row")
+    by = t.dropna(subset=["g", "v"]).groupby("g")["v"]
+    assert len(got) == len(t)
+    np.testing.assert_array_equal(got["r"].to_numpy(float), by.rank().reindex(t.index).to_numpy(float))
+    np.testing.assert_array_equal(got["n"].to_numpy(float), by.transform("count").reindex(t.index).to_numpy(float))
+    ties = t.assign(v=t["v"] + 0.0).dropna(subset=["g", "v"]).groupby(["g", "v"])["v"].transform("count")
+    np.testing.assert_array_equal(got["t"].to_numpy(float), ties.reindex(t.index).to_numpy(float))
+
+    many = spark.range(30_000).select("id", (F.col("id") % 5).alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = RK.ranked(many, "v", ["g"], "id", r=RK.average_rank())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in moved) == 1 and len(moved) <= 3
